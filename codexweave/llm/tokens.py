@@ -8,7 +8,6 @@ word alone. Texts with white space beyond ASCII are encoded in one piece.
 from __future__ import annotations
 
 import os
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,30 +19,45 @@ ODD_SPACE = "[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{
 
 
 class Encoder:
-    """Encodes with a file of the ``tokenizers`` library; holds at most ``keep`` words' ids."""
+    """Encodes with a file of the ``tokenizers`` library; holds the ids of at most ``keep`` words."""
 
-    def __init__(self, path: str, spaced: bool, keep: int = 500_000):
+    def __init__(self, path: str, spaced: bool, keep: int = 3_000_000, mark: str = "<|endoftext|>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.keep = Tokenizer.from_file(path), spaced, keep
+        self.tokenizer, self.spaced, self.keep, self.mark = Tokenizer.from_file(path), spaced, keep, mark
+        self.mark_id = self.tokenizer.token_to_id(mark)
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        """Known words: hashes in order, and where their ids lie in ``flat``."""
+        self.known, self.begin, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.offsets = np.zeros(1 << 14, np.int64)
 
-    def _learn(self, hashed: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashed, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            slot = self.slots[h] = len(self.slots)
-            end = self.used + len(e.ids)
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many short texts from one call, told apart by a special token between them."""
+        if any(self.mark in x for x in texts):
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(ids == self.mark_id)
+        lengths = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+        return np.delete(ids, cuts), lengths
+
+    def _learn(self, new: np.ndarray, texts: list[str]) -> None:
+        """Add words by ascending hash."""
+        begins, lengths = [], []
+        for at in range(0, len(texts), 5000):
+            ids, length = self._ids(texts[at : at + 5000])
+            end = self.used + len(ids)
             if end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(e.ids)), np.uint32)])
-            if slot + 2 > len(self.offsets):
-                self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-            self.flat[self.used : end] = e.ids
-            self.used = self.offsets[slot + 1] = end
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+            self.flat[self.used : end] = ids
+            begins.append(self.used + np.cumsum(length) - length)
+            lengths.append(length)
+            self.used = end
+        place = np.searchsorted(self.known, new)
+        self.known, self.begin, self.length = (np.insert(x, place, y) for x, y in ((self.known, new), (self.begin, np.concatenate(begins)), (self.length, np.concatenate(lengths))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids end to end, and how many each has. Nulls count as empty texts."""
@@ -53,23 +67,23 @@ class Encoder:
         plain = pc.if_else(is_odd, "", texts) if len(odd) else texts
         w = split(plain)
         if self.spaced:
-            start = np.unique(np.concatenate([w.bounds[:-1], w.end]))
-            start = start[start < len(w.data)]
+            begins = np.zeros(len(w.data) + 1, bool)
+            begins[w.bounds] = begins[w.end] = True
+            start = np.flatnonzero(begins[:-1])
             end, first = np.append(start[1:], len(w.data)), np.searchsorted(start, w.bounds)
             h = hash_spans(w.data, start, end - start, EVERY_BYTE)
         else:
             start, end, first, h = w.start, w.end, w.first, hashes(w)
         unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slots) + len(unique) > self.keep:
+        if len(self.known) + len(unique) > self.keep:
             self._forget()
-        known = np.fromiter(map(self.slots.get, unique.tolist(), repeat(-1)), np.int64, len(unique))
-        if len(new := np.flatnonzero(known < 0)):
-            known[new] = np.arange(len(self.slots), len(self.slots) + len(new))
-            self._learn(unique[new].tolist(), [w.data[a:b].tobytes().decode() for a, b in zip(start[at[new]], end[at[new]])])
-        slot = known[inverse]
-        begin = self.offsets[slot]
-        length = self.offsets[slot + 1] - begin
-        total = np.zeros(len(slot) + 1, np.int64)
+        slot = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[slot] != unique) if len(self.known) else np.arange(len(unique))
+        if len(new):
+            self._learn(unique[new], [w.data[a:b].tobytes().decode() for a, b in zip(start[at[new]], end[at[new]])])
+            slot = np.searchsorted(self.known, unique)
+        length, begin = self.length[slot][inverse], self.begin[slot][inverse]
+        total = np.zeros(len(length) + 1, np.int64)
         np.cumsum(length, out=total[1:])
         ids = self.flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], length)]
         counts = total[first[1:]] - total[first[:-1]]
