@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import lines, near_dup, packing, recompress, secrets, token_files
 
 
 def queries() -> dict:
-    found = [packing.op2_best_fit_packing, token_files.op9_arrow_token_files]
+    found = [
+        packing.op2_best_fit_packing,
+        near_dup.op3_minhash_near_dedup,
+        secrets.op6_secret_scan,
+        recompress.op8_recompression_dedup,
+        token_files.op9_arrow_token_files,
+        lines.op10_line_dedup,
+    ]
     return {f.__name__: f for f in found}
 
 

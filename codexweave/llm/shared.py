@@ -45,3 +45,15 @@ def before(df: DataFrame, by: str, value: str, name: str, block: int = 1024) ->
     totals = df.groupBy("_block").agg(F.sum(value).alias("_total")).withColumn("_base", F.coalesce(F.sum("_total").over(outer), F.lit(0)))
     inside = F.coalesce(F.sum(value).over(inner), F.lit(0))
     return df.withColumn("_inside", inside).join(totals.drop("_total"), "_block").withColumn(name, F.col("_inside") + F.col("_base")).drop("_inside", "_base", "_block")
+
+
+def small(df: DataFrame, limit_mb: float = 16) -> DataFrame:
+    """A table made by ``cut``, or one cut here, marked for broadcast if its files are within the limit; else left to a shuffled join."""
+    spark = df.sparkSession
+    if not df.inputFiles():
+        return df
+    total = 0
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        total += target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(target).getLength()
+    return F.broadcast(df) if total <= limit_mb * 1e6 else df
