@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, near_dup, packing, recompress, secrets, token_files
+from . import lines, near_dup, neighbours, packing, recompress, secrets, token_files
 
 
 def queries() -> dict:
     found = [
+        neighbours.op1_additive_quantisation,
         packing.op2_best_fit_packing,
         near_dup.op3_minhash_near_dedup,
         secrets.op6_secret_scan,
