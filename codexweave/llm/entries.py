@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, near_dup, neighbours, packing, recompress, secrets, token_files
+from . import lines, near_dup, neighbours, packing, quality, recompress, secrets, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         neighbours.op1_additive_quantisation,
         packing.op2_best_fit_packing,
         near_dup.op3_minhash_near_dedup,
+        quality.op4_attention_quality,
         secrets.op6_secret_scan,
         recompress.op8_recompression_dedup,
         token_files.op9_arrow_token_files,

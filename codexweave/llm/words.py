@@ -41,6 +41,17 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=U) * U(2) + U(1)
 
 
+#: Everything ASCII but letters and digits.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+_BARE = np.where(PUNCTUATION, U(0), _BYTE)
+
+
+def bare(texts: pa.Array) -> tuple[Words, np.ndarray]:
+    """Words of lower-cased texts without ASCII punctuation, and their hashes."""
+    w = split(pc.utf8_lower(pc.fill_null(texts, "")), PUNCTUATION)
+    return w, hash_spans(w.data, w.start, w.end - w.start, _BARE)
+
+
 @dataclass
 class Words:
     """Words of some texts: of text i, those in ``first[i]:first[i + 1]``; bytes ``start:end`` of data."""
@@ -70,10 +81,10 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def split(texts: pa.Array) -> Words:
+def split(texts: pa.Array, separator: np.ndarray = SEPARATOR) -> Words:
     data, bounds = raw(texts)
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SEPARATOR[data]
+    inside[1:-1] = ~separator[data]
     begins = np.zeros(len(data) + 1, bool)
     begins[bounds] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | begins[:-1]))
