@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, near_dup, neighbours, packing, quality, recompress, secrets, token_files
+from . import leaks, licenses, lines, near_dup, neighbours, packing, quality, recompress, secrets, token_files
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         packing.op2_best_fit_packing,
         near_dup.op3_minhash_near_dedup,
         quality.op4_attention_quality,
+        licenses.op5_patience_licenses,
         secrets.op6_secret_scan,
+        leaks.op7_latent_decontamination,
         recompress.op8_recompression_dedup,
         token_files.op9_arrow_token_files,
         lines.op10_line_dedup,
