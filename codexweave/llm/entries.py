@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import leaks, licenses, lines, near_dup, neighbours, packing, quality, recompress, secrets, token_files
 
 
@@ -18,7 +20,7 @@ def queries() -> dict:
         token_files.op9_arrow_token_files,
         lines.op10_line_dedup,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
