@@ -8,7 +8,7 @@ window has a symbol inside. The longest one is the window's anchor (then the lea
 equal anchors with equal ``EDGE`` words around them; so only windows whose anchor, with that context,
 occurs twice can be repeats. Those windows alone are compared, by the hash of all their words together with their anchor's.
 
-Texts that are wholly equal are one text from the start, whatever their number: all their windows are repeats. Null and
+Of texts that are wholly equal, all windows are repeats; only one of them takes part in the comparison of windows. Null and
 blank texts have no words; repeated rows count as copies; a null doc_id is kept; an empty table gives no rows; other columns are not read.
 """
 
@@ -124,50 +124,58 @@ def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents without the words of their repeated windows."""
+    """Documents without the words of their repeated stretches."""
     for batch in slices(batches):
         texts, removed = [], []
-        for body, starts in zip(batch["text"], batch["starts"]):
+        for body, low, high in zip(batch["text"], batch["low"], batch["high"]):
             words = body.as_buffer().to_pybytes().split()
-            edges = np.zeros(len(words) + 1, np.int64)
-            at = np.asarray(starts.values.to_numpy())
-            np.add.at(edges, at, 1)
-            np.add.at(edges, at + WINDOW, -1)
-            gone = np.cumsum(edges[:-1]) > 0
+            gone = np.zeros(len(words), bool)
+            for a, b in zip(low.as_py(), high.as_py()):
+                gone[a:b] = True
             texts.append(b" ".join([x for x, g in zip(words, gone.tolist()) if not g]).decode())
             removed.append(int(gone.sum()))
         yield pa.record_batch([batch["doc_id"], batch["row"], pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "row", "n_removed", "kept"])
 
 
-def repeated(df: DataFrame, by: list[str], place: list[str]) -> DataFrame:
-    """The values of ``by`` that occur in two places at least, without counting or gathering the places."""
-    ends = df.groupBy(*by).agg(F.min(F.struct(*place)).alias("low"), F.max(F.struct(*place)).alias("high"))
-    return ends.filter(F.col("low") != F.col("high")).select(*by)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Window starts of a text as the stretches of words they cover."""
+    for batch in batches:
+        low, high = [], []
+        for starts in batch["starts"]:
+            at = np.sort(starts.values.to_numpy())
+            first = np.flatnonzero(np.diff(at, prepend=at[0] - WINDOW - 1) > WINDOW)
+            low.append(at[first])
+            high.append(at[np.append(first[1:] - 1, len(at) - 1)] + WINDOW)
+        yield pa.record_batch([batch["row"], pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))], names=["row", "low", "high"])
+
+
+def repeated(df: DataFrame, by: list[str]) -> DataFrame:
+    """The values of ``by`` in two rows at least; counted before the shuffle, so hot values are one row a task."""
+    return df.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").select(*by)
 
 
 def long_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per document what the first pass found; texts with copies (row, side, copies); repeated windows by text (row, starts)."""
+    """Per document what the first pass found; texts with copies (row, side, copies); repeated stretches by text (row, low, high)."""
     rows = _rows(docs, text, key)
     first = cut(rows.mapInArrow(_first_pass, "doc_id long, row long, side long, n_words long, digest string, places array<int>, keys array<long>"))
     texts = cut(first.groupBy("row", "side").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     found = first.select("row", F.explode(F.arrays_zip("places", "keys")).alias("x")).select("row", F.col("x.places").alias("place"), F.col("x.keys").alias("key"))
-    shared = cut(repeated(found, ["key"], ["row", "place"]))
-    hits = found.join(small(shared), "key", "left_semi").groupBy("row").agg(F.collect_set("place").alias("shared"))
+    hits = found.join(cut(repeated(found, ["key"])).hint("merge"), "key", "left_semi").groupBy("row").agg(F.collect_set("place").alias("shared"))
     wanted = cut(hits.join(texts, "row").select("row", "doc_id", "shared"))
     chosen = small(wanted)
     bodies = rows.join(chosen, (rows.row == chosen.row) & rows.doc_id.eqNullSafe(chosen.doc_id)).select(rows.row, rows.text, "shared")
     windowed = cut(bodies.mapInArrow(_second_pass, "row long, start int, key long, hash long"))
-    again = repeated(windowed, ["key", "hash"], ["row", "start"])
-    starts = cut(windowed.join(again, ["key", "hash"], "left_semi").groupBy("row").agg(F.collect_set("start").alias("starts")))
-    return first, texts.select("row", "side", "copies"), starts
+    again = cut(repeated(windowed, ["key", "hash"])).hint("merge")
+    starts = windowed.join(again, ["key", "hash"], "left_semi").groupBy("row").agg(F.collect_set("start").alias("starts"))
+    return first, texts.select("row", "side", "copies"), cut(starts.mapInArrow(_runs, "row long, low array<int>, high array<int>"))
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (null where nothing goes), digest of the kept words."""
-    first, texts, starts = long_repeats(docs, text, key)
+    first, texts, stretches = long_repeats(docs, text, key)
     rows = _rows(docs, text, key)
-    chosen = small(starts)
-    bodies = rows.join(chosen, rows.row == chosen.row).select("doc_id", rows.row, "text", "starts")
+    chosen = small(stretches)
+    bodies = rows.join(chosen, rows.row == chosen.row).select("doc_id", rows.row, "text", "low", "high")
     partly = bodies.mapInArrow(_third_pass, "doc_id long, row long, n_removed long, kept string")
     partly = partly.withColumn("kept_sha256", F.sha2("kept", 256)).toDF("_id", "_row", "n_removed", "kept", "kept_sha256")
     partly = cut(partly.dropDuplicates(["_id", "_row"]))
