@@ -16,16 +16,18 @@ ABBREVIATIONS = {
 _BOUNDARY = re.compile(r"([.!?])([)\]»«”“\"’']*)\s+(?=(?:—\s+)?[A-ZÄÖÜ»„“\"(])")
 _COLON = re.compile(r"(:)()\s+(?=[A-ZÄÖÜ])")
 _LABEL = re.compile(r"(?:\d{1,2}|[IVXLC]{1,5})\.")
+_ABBREVIATED = {k: re.compile(r"(?<!\w)(?:%s)" % "|".join(r"\s*".join(map(re.escape, x.split())) for x in v)) for k, v in ABBREVIATIONS.items()}
 _INITIAL = re.compile(r"(?:^|[\s(])[A-ZÄÖÜ]\.$")
 
 
 def split(text: str, language: str = "en", colon: bool = False) -> list[str]:
     """Sentences of a text: a boundary is closing punctuation, closers, space and an opening; abbreviations, initials and leading labels are none."""
     found = list(_BOUNDARY.finditer(text)) + (list(_COLON.finditer(text)) if colon else [])
+    short = {i for m in _ABBREVIATED[language].finditer(text) for i in range(*m.span())} if language in _ABBREVIATED else set()
     out, start = [], 0
     for m in sorted(found, key=lambda m: m.start()):
         before = text[start : m.end(1)].strip()
-        if m[1] == "." and (any(before.endswith(a) for a in ABBREVIATIONS.get(language, [])) or _INITIAL.search(before) or _LABEL.fullmatch(before)):
+        if m[1] == "." and (m.start() in short or _INITIAL.search(before) or _LABEL.fullmatch(before)):
             continue
         out.append(text[start : m.end()].strip())
         start = m.end()

@@ -61,14 +61,20 @@ def excerpt(text: Column, n: int = 300) -> Column:
 
 
 def contained_form(text: Column) -> Column:
-    """Words only, for containment: tags and entities dropped, lower case, punctuation as single spaces, padded."""
-    plain = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), "&[a-zA-Z]+;|&#[0-9]+;", " ")
+    """Words only, for meeting texts by their words: tags and entities dropped, lower case, punctuation as single spaces, padded."""
+    plain = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "&[a-zA-Z0-9#]+;", " ")
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-def contains_quote(text: Column, quote: Column) -> Column:
-    """Whether the quote's words are in the text in order and without gaps; an empty quote is in none."""
-    return (F.trim(contained_form(quote)) != "") & F.contains(contained_form(text), contained_form(quote))
+def letters(text: Column) -> Column:
+    """Letters and digits alone, in lower case."""
+    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
+
+
+def contains_quote(html: Column, quote: Column) -> Column:
+    """Whether the quote's letters and digits stand in the text that the HTML shows, without gaps; an empty quote is in any."""
+    plain = F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), "&[a-zA-Z0-9#]+;", " ")
+    return F.contains(letters(plain), letters(quote))
 
 
 def badge(publisher: Column, language: Column) -> Column:

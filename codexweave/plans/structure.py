@@ -168,16 +168,16 @@ def median_gap_groups(t):
     return N.gap_groups(t.events, ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"], 1.5, "paragraph").select("user_id", "event_id", "paragraph")
 
 
-@query(r"SELECT doc_id, lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))) AS normal FROM documents WHERE regexp_full_match(text, '[ -~\n\t]*')")
+@query(r"SELECT doc_id, lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))) AS normal FROM documents")
 def normalise_text(t):
-    return t.documents.filter(F.col("text").rlike(r"\A[ -~\n\t]*\z")).select("doc_id", X.normalise(F.col("text")).alias("normal"))
+    return t.documents.select("doc_id", X.normalise(F.col("text")).alias("normal"))
 
 
 @query("""
-SELECT a.item_id, round(1 - levenshtein(lower(a.text[1:60]), lower(b.text[1:60])) / greatest(length(lower(a.text[1:60])), length(lower(b.text[1:60]))), 6) AS ratio
-FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE regexp_full_match(a.text[1:60], '[ -~]*') AND regexp_full_match(b.text[1:60], '[ -~]*') AND a.text[60:60] <> ' ' AND b.text[60:60] <> ' ' AND a.text[1:60] NOT LIKE '%  %' AND b.text[1:60] NOT LIKE '%  %'""")
+WITH n AS (SELECT item_id, trim(regexp_replace(lower(text), '[^!-~]+', ' ', 'g')) AS x FROM benchmark)
+SELECT a.item_id, round(1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)), 6) AS ratio FROM n a JOIN n b ON b.item_id = a.item_id + 1""")
 def similarity_ratio(t):
-    items = t.benchmark.select("item_id", F.substring("text", 1, 60).alias("x"), F.substring("text", 60, 1).alias("e")).filter(F.col("x").rlike(r"\A[ -~]*\z") & (F.col("e") != " ") & ~F.col("x").contains("  "))
+    items = t.benchmark.select("item_id", F.regexp_replace(F.lower("text"), "[^!-~]+", " ").alias("x"))
     following = items.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("y"))
     return items.join(following, "item_id").select("item_id", F.round(X.similarity(F.col("x"), F.col("y")), 6).alias("ratio"))
 

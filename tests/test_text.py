@@ -15,7 +15,7 @@ def test_similarity(spark, a, b, low, high):
     assert low <= value(spark, X.similarity(F.lit(a), F.lit(b))) <= high
 
 
-@pytest.mark.parametrize("text, quote, there", [("<p>One two</p><p>three</p>", "one Two", True), ("a &amp; b c", "b, c", True), ("one two three", "two one", False), ("abc", "", False), ("Über die Brücke", "die brücke", True), ("one twofold", "one two", False)])
+@pytest.mark.parametrize("text, quote, there", [("<p>One two</p><p>three</p>", "one Two", True), ("<p>One two</p><p>three</p>", "two. Three", True), ("a &amp; b c", "b, c", True), ("one two three", "two one", False), ("abc", "  ", True), ("Über die Brücke", "die brücke", True), ("one <em>two</em>", "em two", False), ("x &#8217; y", "8217", False), ("one two", "one extra two", False)])
 def test_containment(spark, text, quote, there):
     assert value(spark, X.contains_quote(F.lit(text), F.lit(quote))) is there
 
@@ -51,6 +51,7 @@ def test_hash_encoding(spark):
     ("One. Two.", "en", ["One.", "Two."]),
     ("Mr. Smith came. He left.", "en", ["Mr. Smith came.", "He left."]),
     ("Siehe z. B. Kant. Dann weiter.", "de", ["Siehe z. B. Kant.", "Dann weiter."]),
+    ("A ship. Then a piano. Vol.", "en", ["A ship.", "Then a piano.", "Vol."]),
     ("By J. Doe. Yes.", "en", ["By J. Doe.", "Yes."]),
     ("1. First thing. Next.", "en", ["1. First thing.", "Next."]),
     ("He said. — And then.", "en", ["He said.", "— And then."]),
