@@ -9,7 +9,7 @@ orders, then, from all orders, the pairs that the first round's links don't alre
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; the set holds the distinct 5-word shingles, for fewer words the whole
 sequence; null, empty and blank texts have an empty set and no link. Rows of equal doc_id are told apart by their
-sets; a null doc_id sorts first; repeated rows get equal results; an empty table gives no rows; other columns are not read.
+sets; a null doc_id never names a group that has another; repeated rows get equal results; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
