@@ -16,6 +16,7 @@ an empty table gives no rows; columns beyond the ids and texts are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,18 +176,27 @@ def sketch(found: DataFrame, items, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def common(x: np.ndarray, y: np.ndarray) -> int:
-    """Length of the longest common subsequence, by bits."""
-    places: dict[int, int] = {}
-    for i, t in enumerate(x.tolist()):
-        places[t] = places.get(t, 0) | 1 << i
-    ones = (1 << len(x)) - 1
-    row = ones
-    for t in y.tolist():
-        if m := places.get(t):
-            u = row & m
-            row = ((row + u) | (row - u)) & ones
-    return len(x) - row.bit_count()
+class Ordered:
+    """A sequence of terms, for the longest common subsequence with others."""
+
+    def __init__(self, x: np.ndarray):
+        self.size, self.places, self.times = len(x), {}, {}
+        for i, t in enumerate(x.tolist()):
+            self.places[t] = self.places.get(t, 0) | 1 << i
+            self.times[t] = self.times.get(t, 0) + 1
+
+    def at_most(self, terms: set[int]) -> int:
+        """No common subsequence with a text of these terms is longer."""
+        return sum(self.times[t] for t in self.times.keys() & terms)
+
+    def common(self, y: list[int]) -> int:
+        """Length of the longest common subsequence, by bits."""
+        row = ones = (1 << self.size) - 1
+        for t in y:
+            if m := self.places.get(t):
+                u = row & m
+                row = ((row + u) | (row - u)) & ones
+        return self.size - row.bit_count()
 
 
 def matches(found: DataFrame, items) -> DataFrame:
@@ -202,13 +212,21 @@ def matches(found: DataFrame, items) -> DataFrame:
                 y /= np.maximum(np.sqrt((y * y).sum(1, keepdims=True)), 1e-12)
                 near = np.argwhere(y @ block.latent.T >= COSINE)
                 best: dict[tuple[int, int], tuple[float, bool]] = {}
+                ordered: dict[int, tuple[Ordered, Ordered]] = {}
+                last, place, words = -1, [], []
                 for i, k in near.tolist():
-                    r, item, answer = int(row[i]), block.items[k], block.answers[k]
-                    place, words = (np.frombuffer(batch[c][r].as_buffer(), np.int32) for c in ("places", "terms"))
-                    low, high = np.searchsorted(place, [passage[i] * HALF - len(item), passage[i] * HALF + PASSAGE + len(item)])
-                    near_words = words[low:high]
-                    cover = common(item, near_words) / len(item)
-                    answered = cover >= PARAPHRASE and common(answer, near_words) >= COVER * len(answer)
+                    if (r := int(row[i])) != last:
+                        last = r
+                        place, words = (np.frombuffer(batch[c][r].as_buffer(), np.int32).tolist() for c in ("places", "terms"))
+                    if k not in ordered:
+                        ordered[k] = Ordered(block.items[k]), Ordered(block.answers[k])
+                    item, answer = ordered[k]
+                    first = int(passage[i]) * HALF
+                    near_words = words[bisect_left(place, first - item.size) : bisect_left(place, first + PASSAGE + item.size)]
+                    if item.at_most(set(near_words)) < PARAPHRASE * item.size:
+                        continue
+                    cover = item.common(near_words) / item.size
+                    answered = cover >= PARAPHRASE and answer.common(near_words) >= COVER * answer.size
                     if cover >= COVER or answered:
                         best[r, k] = max(best.get((r, k), (0.0, False)), (cover, answered))
                 out = [(batch["doc_id"][r].as_py(), block.ids[k], *v) for (r, k), v in best.items()]
