@@ -5,7 +5,10 @@ Texts of equal shingle sets are one class, so groups of copies of any size are o
 a class's neighbours in the sorted order are those with the longest common prefixes, so the depth at
 which it is compared follows the density of its region: sparse regions go down to ``LEAST`` values, dense ones stop at
 the ``REACH`` nearest. Candidates are confirmed on full sets in two rounds: first the nearest neighbours in two
-orders, then, from all orders, the pairs that the first round's links don't already join.
+orders, then, from all orders, the pairs that the first round's links don't already join. A region, the classes of equal
+``LEAST`` first values in one order, with more members than ``REACH`` covers and not yet one component is then compared
+in full, on full sets, in blocks of bounded size: so every pair that shares a region is confirmed or already joined.
+The forest itself misses a pair at the threshold once in 2,000 (no common region in ``TREES`` orders).
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; the set holds the distinct 5-word shingles, for fewer words the whole
 sequence; null, empty and blank texts have an empty set and no link. Rows of equal doc_id are told apart by their
@@ -28,6 +31,8 @@ from .words import U, binaries, hashes, mix, seeded, slices, split, windows
 TREES, DEPTH, LEAST, REACH = 14, 8, 3, 3
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 ROUGH = 0.5
+#: Members and shingles of a block of a large region.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 _SIDES = seeded(2, 5)
 
 
@@ -191,6 +196,94 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
     return cut(found.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]))
 
 
+def _forest(ids: np.ndarray, block: np.ndarray, label: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Links (two ids) that join all labels with a pair of sets within the threshold: all pairs of two blocks, or of one.
+
+    Sets with the most common shingles come first, and pairs of one label are left out, so that an original joins its variants at once.
+    """
+    _, shingle, often = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(ids)), counts)
+    holders = owner[np.argsort(shingle, kind="stable")]
+    begin = np.cumsum(often) - often
+    at = np.cumsum(counts) - counts
+    common = np.add.reduceat(often[shingle], at) / counts
+    apart = block[0] != block[-1] or (block != block[0]).any()
+    out = []
+    for p in np.argsort(-common, kind="stable").tolist():
+        open_ = (label != label[p]) & (np.minimum(counts, counts[p]) * DENOMINATOR >= NUMERATOR * np.maximum(counts, counts[p]))
+        if apart:
+            open_ &= block != block[p]
+        if not open_.any():
+            if (label == label[0]).all():
+                break
+            continue
+        own = shingle[at[p] : at[p] + counts[p]]
+        own = own[often[own] > 1]
+        n = often[own]
+        places = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(holders[places], minlength=len(ids))
+        hit = np.flatnonzero(open_ & (DENOMINATOR * both >= NUMERATOR * (counts + counts[p] - both)))
+        if len(hit):
+            met, first = np.unique(label[hit], return_index=True)
+            out += [(ids[p], ids[q]) for q in hit[first].tolist()]
+            label[np.isin(label, met)] = label[p]
+    return out
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows sorted by (region, i, j); one such group at a time is held."""
+    held: list[pa.RecordBatch] = []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        sets = [np.frombuffer(x.as_buffer(), U) for x in table["shingles"]]
+        ids, block, label = (table[c].to_numpy() for c in ("id", "block", "label"))
+        found = _forest(ids, block, label.copy(), np.concatenate(sets), np.array([len(x) for x in sets]))
+        if found:
+            u, v = zip(*found)
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch[c].to_numpy() for c in ("region", "i", "j")], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(keys[a].tolist())
+            if held and key != last:
+                yield from links()
+                held.clear()
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from links()
+
+
+def crowded(classes: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+    """u, v: links inside regions that hold more than ``REACH`` covers and several groups; label (id, group): the groups so far.
+
+    Members of a region's most frequent group need no comparison with each other: only blocks of the others are dealt with all blocks.
+    """
+    starts = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 4 * DEPTH * t + 1, 4 * LEAST)) for t in range(TREES)])
+    known = classes.join(label, "id", "left").select("id", "sig", F.coalesce("group", "id").alias("label"))
+    members = cut(known.join(sets.select("id", (F.octet_length("shingles") / 8).cast("long").alias("size")), "id").select("id", "label", "size", F.explode(starts).alias("region")))
+    per = members.groupBy("region", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    regions = per.groupBy("region").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "label", "s")).alias("most"), F.count("*").alias("labels"))
+    regions = regions.filter((F.col("labels") > 1) & (F.col("n") > REACH + 1))
+    regions = cut(regions.select("region", F.col("most.label").alias("main"), blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("few"), blocks(F.col("most.n"), F.col("most.s")).alias("many")))
+    spot = F.pmod(F.xxhash64("id"), F.when(F.col("label") == F.col("main"), F.col("many")).otherwise(F.col("few"))).cast("int")
+    placed = members.join(small(regions), "region").withColumn("cell", F.when(F.col("label") == F.col("main"), F.col("few") + spot).otherwise(spot))
+    # A block of others (i) meets itself and every later block (j); a region of few members is one group.
+    one = (F.col("few") == 1) & (F.col("many") == 1)
+    every = F.transform(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1), lambda k: F.struct(F.least(k, "cell").alias("i"), F.greatest(k, "cell").alias("j")))
+    dealt = F.when(one, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.filter(every, lambda x: x["i"] < F.col("few")))
+    rows = cut(placed.select("region", "id", "label", F.when(one, 0).otherwise(F.col("cell")).alias("block"), F.explode(dealt).alias("x")).select("region", "x.i", "x.j", "id", "label", "block"))
+    key = ["region", "i", "j"]
+    return rows.join(sets, "id").select(*key, "id", "label", "block", "shingles").repartition(partitions(classes.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(_in_blocks, "u long, v long").distinct()
+
+
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     each = cut(signed(docs, text, key))
@@ -206,7 +299,10 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     label = joined.select(F.col("node.id").alias("id"), F.col("component.id").alias("group"))
     rest = pairs.filter(~F.col("near")).join(label.toDF("u", "g"), "u", "left").join(label.toDF("v", "h"), "v", "left").filter("not (g <=> h) or g is null").select("u", "v")
     more = cut(_named(_confirmed(_likely(rest, classes), sets), named))
-    whole = components(joined.toDF("u", "v").unionByName(more))
+    joined = cut(components(joined.toDF("u", "v").unionByName(more)))
+    label = joined.select(F.col("node.id").alias("id"), F.col("component.id").alias("group"))
+    last = cut(_named(crowded(classes, sets, label), named))
+    whole = components(joined.toDF("u", "v").unionByName(last))
     component = classes.join(whole.select(F.col("node.id").alias("id"), F.col("component.first").alias("least")), "id", "left")
     component = component.select(F.col("id").alias("a"), "b", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"))
     linked = each.filter("n_shingles > 0").join(component, ["a", "b"]).select("doc_id", "n_shingles", "component_id")

@@ -63,6 +63,41 @@ def test_near_dup_repeated_rows_and_null_ids(spark):
     assert rows(near_dup.groups(lost), "doc_id", "component_id") == [(2, 2), (None, 2), (None, None)]
 
 
+def test_near_dup_many_variants_of_one_original(spark):
+    """1000 variants, each within the threshold of the original but few of each other, are one component, as by brute force."""
+    rng = random.Random(31)
+    base = [f"t{rng.randrange(5000)}" for _ in range(300)]
+    variants = []
+    for k in range(1000):
+        words = list(base)
+        for i in rng.sample(range(300), 7):
+            words[i] = f"v{k}x{i}"
+        variants.append((k + 1, " ".join(words)))
+    original = brute.shingles(" ".join(base))
+    near = {i for i, t in variants if 100 * len(s := brute.shingles(t) & original) >= 75 * (len(original) + len(brute.shingles(t)) - len(s))}
+    assert len(near) == 1000
+    some = spark.createDataFrame([(i, t, "", 0, 0) for i, t in [(5000, " ".join(base)), *variants]], SCHEMA).repartition(3)
+    assert {x[0] for x in rows(near_dup.groups(some), "component_id")} == {1}
+
+
+def test_near_dup_blocks_of_a_region():
+    """All pairs of a block, or of two blocks, give the components of brute force."""
+    rng = np.random.default_rng(3)
+    for apart in (False, True):
+        base = [rng.choice(300, 40, replace=False) for _ in range(4)]
+        sets = [np.unique(np.concatenate([b[rng.random(40) < 0.93], rng.choice(300, 3)])).astype(np.uint64) for b in base for _ in range(15)]
+        block = rng.integers(0, 2, 60) if apart else np.zeros(60, int)
+        expected, got = ({i: i for i in range(60)} for _ in range(2))
+        for a in range(60):
+            for b in range(a + 1, 60):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if (block[a] != block[b] or not apart) and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    brute.join(expected, a, b)
+        for a, b in near_dup._forest(np.arange(60), block, np.arange(60), np.concatenate(sets), np.array([len(x) for x in sets])):
+            brute.join(got, a, b)
+        assert [brute.find(got, i) for i in range(60)] == [brute.find(expected, i) for i in range(60)]
+
+
 def test_recompression(spark, docs, empty):
     names = ("doc_id", "n_words", "n_removed", "kept_sha256")
     assert rows(recompress.dedup(docs), *names) == brute.repeats(DOCS)
