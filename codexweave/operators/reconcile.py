@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +20,18 @@ def ratio(a: str, b: str) -> float:
     a, b = _normal(a), _normal(b)
     if a == b:
         return 1.0
+    longer = max(len(a), len(b))
+    # Equal beginnings and ends add nothing to the distance.
+    head = len(commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
+    return 1 - row[-1] / longer
 
 
 def plan_unit(old: list[tuple[str, str]], new: list[str]) -> list[tuple]:

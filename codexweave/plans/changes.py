@@ -68,13 +68,15 @@ def expire_sessions(t):
 
 
 def _revisions(t):
-    """Documents' sentences, and a second revision: some edited, some split, some merged, some appended."""
-    words = t.documents.filter("n_chars < 4000").select("doc_id", F.posexplode(S.structural(F.col("text"))).alias("place", "text"))
-    old = words.select(F.format_string("d%d", "doc_id").alias("unit"), F.format_string("d%d.s%d", "doc_id", "place").alias("id"), "place", "text", "doc_id")
-    edited = F.when((F.col("doc_id") % 4 == 0) & (F.col("place") == 0), F.concat("text", F.lit(" indeed"))).otherwise(F.col("text"))
-    new = old.select("unit", "place", edited.alias("text"), "doc_id")
-    tail = new.filter("doc_id % 4 = 1").groupBy("unit").agg((F.max("place") + 1).alias("place")).select("unit", "place", F.lit("An added sentence.").alias("text"))
-    return old.drop("doc_id"), new.drop("doc_id").unionByName(tail)
+    """Sentences of all documents' lines that aren't blank, a line being a unit, and a second revision: some edited, some appended."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block", "line")).filter("trim(line) <> ''")
+    words = lines.select("doc_id", "block", F.posexplode(S.structural(F.col("line"))).alias("place", "text"))
+    old = words.select(F.format_string("d%d.b%d", "doc_id", "block").alias("unit"), F.format_string("d%d.b%d.s%d", "doc_id", "block", "place").alias("id"), "place", "text", "doc_id", "block")
+    edited = F.when((F.col("doc_id") % 4 == 0) & (F.col("block") == 0) & (F.col("place") == 0), F.concat("text", F.lit(" indeed"))).otherwise(F.col("text"))
+    new = old.select("unit", "place", edited.alias("text"), "doc_id", "block")
+    ends = new.filter("doc_id % 4 = 1").groupBy("doc_id").agg(F.max(F.struct("block", "place", "unit")).alias("end"))
+    tail = ends.select("end.unit", (F.col("end.place") + 1).alias("place"), F.lit("An added sentence.").alias("text"))
+    return old.drop("doc_id", "block"), new.drop("doc_id", "block").unionByName(tail)
 
 
 @query()
