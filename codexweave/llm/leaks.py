@@ -8,7 +8,7 @@ items' own vectors. Passages with a cosine of ``COSINE`` to an item are candidat
 common subsequence must cover ``COVER`` of the item, or ``PARAPHRASE`` of it with its answer (the last sentence, or the last
 ``ANSWER`` words if that is short or the only one) covered to ``COVER``.
 
-Items come to the driver in blocks of ``ITEMS``. Null or empty items and texts match nothing; items of fewer than ``SHORTEST``
+Items come to the driver in blocks of ``ITEMS`` items and about ``TERMS`` distinct words. Null or empty items and texts match nothing; items of fewer than ``SHORTEST``
 words are left out, as they tell nothing; repeated rows are found each; rows of equal doc_id are one document in the result; a null doc_id is kept;
 an empty table gives no rows; columns beyond the ids and texts are not read.
 """
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, partitions
+from .shared import cut, lean, small
 from .words import U, bare, slices
 
 PASSAGE, RANK, COSINE, COVER, PARAPHRASE, ANSWER, SHORTEST = 48, 256, 0.4, 0.75, 0.6, 8, 5
-ITEMS, COMMON, CHUNK = 20_000, 0.002, 64
+ITEMS, TERMS, COMMON, CHUNK = 20_000, 40_000, 0.002, 64
 HALF = PASSAGE // 2
 
 
@@ -57,16 +57,19 @@ class Items:
             counts[own[np.argsort(frequency[own], kind="stable")[:6]]] = True
         self.weights = np.where(counts, np.log((total + 1) / (frequency + 1)) + 1, 0.0)
 
-    def vectors(self) -> np.ndarray:
-        out = np.zeros((len(self.items), len(self.terms)))
-        for i, item in enumerate(self.items):
-            np.add.at(out[i], item, 1)
-        out = np.sqrt(out) * self.weights
-        return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-12)
+    def vectors(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """The items' unit TF-IDF vectors, some at a time: a matrix of all would be items times terms."""
+        for at in range(0, len(self.items), 64):
+            part = slice(at, min(at + 64, len(self.items)))
+            out = np.zeros((part.stop - at, len(self.terms)))
+            for i, item in enumerate(self.items[part]):
+                np.add.at(out[i], item, 1)
+            out = np.sqrt(out) * self.weights
+            yield part, out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-12)
 
 
 def reduced(docs: DataFrame, terms, text: str, key: str) -> DataFrame:
-    """doc_id, n_words and the vocabulary's words as bytes: places (int32) and terms (int32)."""
+    """doc_id, row (hash of the text), n_words and the vocabulary's words as bytes: places (int32) and terms (int32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = terms.value
@@ -82,10 +85,10 @@ def reduced(docs: DataFrame, terms, text: str, key: str) -> DataFrame:
             place = (hit - w.first[of]).astype(np.int32)
             cuts = np.searchsorted(of, np.arange(len(batch) + 1))
             both = [(place[a:b].tobytes(), term[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-            yield pa.record_batch([batch["doc_id"], pa.array(w.counts), pa.array([x for x, _ in both], pa.binary()), pa.array([x for _, x in both], pa.binary())], names=["doc_id", "n_words", "places", "terms"])
+            yield pa.record_batch([batch["doc_id"], batch["row"], pa.array(w.counts), pa.array([x for x, _ in both], pa.binary()), pa.array([x for _, x in both], pa.binary())], names=["doc_id", "row", "n_words", "places", "terms"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, places binary, terms binary")
+    rows = lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, n_words long, places binary, terms binary")
 
 
 def _passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +152,7 @@ def sketch(found: DataFrame, items, start: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros((n_terms, rank))
+        total = np.zeros((n_terms, rank), np.float32)
         for batch in _parts(batches, 200):
             _, _, heads, number, term, value = _matrix(items.value, batch)
             if len(heads):
@@ -164,14 +167,14 @@ def sketch(found: DataFrame, items, start: np.ndarray) -> np.ndarray:
                 yield pa.record_batch([[at // CHUNK], [part % 64], [block.tobytes()]], names=["chunk", "salt", "block"])
 
     def summed(table: pa.Table) -> pa.Table:
-        block = sum(np.frombuffer(x.as_buffer()) for x in table["block"])
+        block = sum(np.frombuffer(x.as_buffer(), np.float32) for x in table["block"])
         return pa.table({"chunk": table["chunk"][:1], "salt": table["salt"][:1], "block": pa.array([block.tobytes()], pa.binary())})
 
     schema = "chunk long, salt long, block binary"
     parts = found.select("places", "terms").mapInArrow(run, schema).groupBy("chunk", "salt").applyInArrow(summed, schema).groupBy("chunk").applyInArrow(summed, schema)
     out = np.zeros((n_terms, rank))
     for r in parts.toLocalIterator():
-        block = np.frombuffer(r["block"]).reshape(-1, rank)
+        block = np.frombuffer(r["block"], np.float32).reshape(-1, rank)
         out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(block)] = block
     return out
 
@@ -200,7 +203,7 @@ class Ordered:
 
 
 def matches(found: DataFrame, items) -> DataFrame:
-    """doc_id, item_id, coverage, answered of confirmed candidates."""
+    """doc_id, row, item_id, coverage, answered of confirmed candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = items.value
@@ -209,8 +212,8 @@ def matches(found: DataFrame, items) -> DataFrame:
             out = []
             if len(heads):
                 y = np.add.reduceat(block.basis[term] * value[:, None], heads)
-                y /= np.maximum(np.sqrt((y * y).sum(1, keepdims=True)), 1e-12)
-                near = np.argwhere(y @ block.latent.T >= COSINE)
+                y = (y / np.maximum(np.sqrt((y * y).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
+                near = np.concatenate([np.argwhere(y[a : a + 512] @ block.latent.T >= COSINE) + [a, 0] for a in range(0, len(y), 512)])
                 best: dict[tuple[int, int], tuple[float, bool]] = {}
                 ordered: dict[int, tuple[Ordered, Ordered]] = {}
                 last, place, words = -1, [], []
@@ -229,18 +232,32 @@ def matches(found: DataFrame, items) -> DataFrame:
                     answered = cover >= PARAPHRASE and answer.common(near_words) >= COVER * answer.size
                     if cover >= COVER or answered:
                         best[r, k] = max(best.get((r, k), (0.0, False)), (cover, answered))
-                out = [(batch["doc_id"][r].as_py(), block.ids[k], *v) for (r, k), v in best.items()]
-            columns = list(zip(*out)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "coverage", "answered"])
+                out = [(batch["doc_id"][r].as_py(), batch["row"][r].as_py(), block.ids[k], *v) for (r, k), v in best.items()]
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "row", "item_id", "coverage", "answered"])
 
-    return found.select("doc_id", "places", "terms").mapInArrow(run, "doc_id long, item_id long, coverage double, answered boolean")
+    return found.select("doc_id", "row", "places", "terms").mapInArrow(run, "doc_id long, row long, item_id long, coverage double, answered boolean")
 
 
 def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Which documents hold which items: doc_id, item_id, coverage, answered."""
+    found = contaminated(docs, benchmark, text, key)
+    return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("answered").alias("answered"))
+
+
+def cleared(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that hold no item; rows of one id, or without one, are decided on each."""
+    gone = small(cut(contaminated(docs, benchmark, text, key).select("doc_id", "row").distinct()))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    mine = F.col("d").getField(key).cast("long").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64(F.col("d").getField(text)) == F.col("x.row"))
+    return rows.join(gone.alias("x"), mine, "left_anti").select("d.*")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, row (hash of the text), item_id, coverage, answered."""
     spark = docs.sparkSession
-    out = spark.createDataFrame([], "doc_id long, item_id long, coverage double, answered boolean")
+    out = spark.createDataFrame([], "doc_id long, row long, item_id long, coverage double, answered boolean")
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text").toLocalIterator()
     block: list = []
 
@@ -250,21 +267,27 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
             return out
         found = cut(reduced(docs, spark.sparkContext.broadcast(items.terms), text, key))
         items.weigh(*frequencies(found, len(items.terms)))
-        own = items.vectors().T
         rank = min(RANK, len(items.terms))
         rng = np.random.default_rng(8)
         start = rng.normal(size=(len(items.terms), rank)) / np.sqrt(rank)
-        mixed = own @ rng.normal(size=(own.shape[1], rank)) if own.shape[1] > rank else np.pad(own, ((0, 0), (0, rank - own.shape[1])))
+        mixed = np.zeros_like(start)
+        for part, own in items.vectors():
+            if len(items.items) > rank:
+                mixed += own.T @ rng.normal(size=(len(own), rank))
+            else:
+                mixed[:, part] = own.T
         shared = spark.sparkContext.broadcast(items)
-        items.basis = np.linalg.qr(sketch(found, shared, mixed + 0.05 * start) + 1e-3 * mixed)[0]
-        latent = items.vectors() @ items.basis
-        items.latent = latent / np.maximum(np.sqrt((latent * latent).sum(1, keepdims=True)), 1e-12)
-        return cut(matches(found, spark.sparkContext.broadcast(items)).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("answered").alias("answered")))
+        items.basis = np.linalg.qr(sketch(found, shared, (mixed + 0.05 * start).astype(np.float32)) + 1e-3 * mixed)[0].astype(np.float32)
+        latent = np.concatenate([own @ items.basis for _, own in items.vectors()])
+        items.latent = (latent / np.maximum(np.sqrt((latent * latent).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
+        return cut(matches(found, spark.sparkContext.broadcast(items)).groupBy("doc_id", "row", "item_id").agg(F.max("coverage").alias("coverage"), F.max("answered").alias("answered")))
 
+    words: set[str] = set()
     for r in rows:
         block.append(r)
-        if len(block) == ITEMS:
-            out, block = out.unionByName(take(block)), []
+        words.update(r["text"].lower().split())
+        if len(block) == ITEMS or len(words) > TERMS:
+            out, block, words = out.unionByName(take(block)), [], set()
     return out.unionByName(take(block)) if block else out
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, partitions, small
+from .shared import cut, lean, partitions, small
 from .words import U, binaries, hashes, mix, seeded, slices, split, windows
 
 TREES, DEPTH, LEAST, REACH = 14, 8, 3, 3
@@ -51,7 +51,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, a and b (128 bits of the set's hash), sig (big-endian uint32 MinHash values)."""
+    """doc_id, row (hash of the text), n_shingles, a and b (128 bits of the set's hash), sig (big-endian uint32 MinHash values)."""
     multipliers = seeded(TREES * DEPTH, 11)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,11 +66,11 @@ def signed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
                     sig[full, i] = np.minimum.reduceat(flat * m, at) >> U(32)
                 a[full] = np.add.reduceat(mix(flat * _SIDES[0]), at)
                 b[full] = np.add.reduceat(mix(flat * _SIDES[1]), at)
-            arrays = [batch["doc_id"], pa.array(counts), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), binaries(sig.reshape(-1).view("<u4"), np.full(len(counts), TREES * DEPTH))]
-            yield pa.record_batch(arrays, names=["doc_id", "n_shingles", "a", "b", "sig"])
+            arrays = [batch["doc_id"], batch["row"], pa.array(counts), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), binaries(sig.reshape(-1).view("<u4"), np.full(len(counts), TREES * DEPTH))]
+            yield pa.record_batch(arrays, names=["doc_id", "row", "n_shingles", "a", "b", "sig"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, a long, b long, sig binary")
+    rows = lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, a long, b long, sig binary")
 
 
 class _Sweep:
@@ -145,7 +145,8 @@ def candidates(classes: DataFrame) -> DataFrame:
     trees = classes.select("id", F.posexplode(keys).alias("tree", "key"))
     order = ["tree", "key", "id"]
     swept = cut(trees.repartitionByRange(partitions(classes.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_within, _PAIR))
-    seams = swept.filter("part is not null").coalesce(1).sortWithinPartitions("part", "place").mapInArrow(_seams, _PAIR)
+    # The few rows at the partitions' ends are dealt to one task after the filter, not the scan before it.
+    seams = swept.filter("part is not null").repartition(1).sortWithinPartitions("part", "place").mapInArrow(_seams, _PAIR)
     pairs = swept.filter("part is null").unionByName(seams)
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "near").groupBy("u", "v").agg(F.max("near").alias("near"))
 
@@ -190,7 +191,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
                 a[full] = np.add.reduceat(mix(flat * _SIDES[0]), (np.cumsum(counts) - counts)[full])
             yield pa.record_batch([pa.array(a.view(np.int64)), binaries(flat, counts)], names=["id", "shingles"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     firsts = small(cut(wanted.select("first").distinct()))
     found = rows.join(firsts, rows.doc_id.eqNullSafe(firsts["first"]), "left_semi").mapInArrow(run, "id long, shingles binary")
     return cut(found.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]))
@@ -286,6 +287,27 @@ def crowded(classes: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
+    return clustered(docs, text, key).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which one of each group stays: that with the least doc_id (null last), then the least hash of its text.
+
+    Rows are told apart by doc_id and text, so rows of one id are decided on each; of equal ones, one stays. Rows without words all stay.
+    """
+    each = cut(clustered(docs, text, key).filter("n_shingles > 0").groupBy("doc_id", "row").agg(F.min("cluster").alias("cluster"), F.count("*").alias("n")))
+    best = each.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row")).alias("best")).select("best.*")
+    same = F.col("e.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("e.row") == F.col("b.row"))
+    decided = each.alias("e").join(best.alias("b"), same, "left").filter(F.col("b.row").isNull() | (F.col("n") > 1))
+    decided = small(cut(decided.select("e.doc_id", "e.row", F.col("b.row").isNotNull().alias("twin"))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    mine = F.col("d").getField(key).cast("long").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64(F.col("d").getField(text)) == F.col("x.row"))
+    left = rows.join(decided.alias("x"), mine, "left").select("d", "x.doc_id", "x.row", "x.twin")
+    return left.filter("twin is null").select("d.*").unionByName(left.filter("twin").dropDuplicates(["doc_id", "row"]).select("d.*"))
+
+
+def clustered(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per document: doc_id, row, n_shingles, component_id, cluster (names the connected group; null without words)."""
     each = cut(signed(docs, text, key))
     full = each.filter("n_shingles > 0")
     firsts = full.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
@@ -303,11 +325,11 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     label = joined.select(F.col("node.id").alias("id"), F.col("component.id").alias("group"))
     last = cut(_named(crowded(classes, sets, label), named))
     whole = components(joined.toDF("u", "v").unionByName(last))
-    component = classes.join(whole.select(F.col("node.id").alias("id"), F.col("component.first").alias("least")), "id", "left")
-    component = component.select(F.col("id").alias("a"), "b", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"))
-    linked = each.filter("n_shingles > 0").join(component, ["a", "b"]).select("doc_id", "n_shingles", "component_id")
-    alone = each.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = classes.join(whole.select(F.col("node.id").alias("id"), F.col("component.first").alias("least"), F.col("component.id").alias("cluster")), "id", "left")
+    component = component.select(F.col("id").alias("a"), "b", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"), F.coalesce("cluster", "id").alias("cluster"))
+    linked = each.filter("n_shingles > 0").join(component, ["a", "b"]).select("doc_id", "row", "n_shingles", "component_id", "cluster")
+    alone = each.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("cluster"))
+    return linked.unionByName(alone)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
