@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .words import U, bare, slices
 
 COVER = 0.8
@@ -138,7 +139,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "te
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "license", "first_word", "end_word", "coverage"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, license string, first_word long, end_word long, coverage double")
 
 

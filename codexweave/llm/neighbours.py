@@ -8,7 +8,7 @@ pair of blocks keeps every query's ``SHORT`` best rows by that score, ranks them
 precision, and passes on the ``k`` best.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part; of ties the smaller vec_id comes
-first; repeated rows are candidates each (those of the query's own id never are); with no rows left the result is empty; other columns are not read.
+first; repeated rows are candidates each (those of the query's own id never are); of query rows with one id, that with the least hash of its vector asks; with no rows left the result is empty; other columns are not read.
 """
 
 from __future__ import annotations
@@ -152,6 +152,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     lengths = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dimension = lengths[0]["n"] if lengths else 1
     good, asked = good.filter(F.size("vector") == dimension), clean(queries).filter(F.size("vector") == dimension)
+    asked = asked.groupBy("vec_id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
     sample = good.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id").limit(FIT_ROWS).select("vector").toArrow()["vector"].combine_chunks()
     x = _matrix(sample) if len(sample) else np.ones((1, dimension))
     books = spark.sparkContext.broadcast(fit((x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import cut, partitions
+from .shared import cut, lean, partitions
 from .tokens import encoder, with_end
 from .words import binaries, slices
 
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, spaced:
     """Documents as token pieces of at most ``capacity``: doc_id, piece, start, length, ids_crc32 and, if asked, ids (little-endian uint32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=2 << 20):
             ids, counts = with_end(*encoder(tokenizer, spaced).encode(batch["text"]), end_id)
             ids = ids.astype("<u4")
             n = -(-counts // capacity)
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, spaced:
                 columns, names = [*columns, binaries(ids, length)], [*names, "ids"]
             yield pa.record_batch(columns, names=names)
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .words import U, hashes, ragged, slices, split
 
 PASSAGE, BUCKETS, HIDDEN, GATE, TRAIN_ROWS, THRESHOLD = 64, 64, 32, 16, 4000, 0.3
@@ -120,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Fit on the documents of ``labels`` (key, quality) that are not held out, ``TRAIN_ROWS`` at most; None without both labels."""
     known = labels.filter(~held_out(F.col(key)) & F.col("quality").isin(0, 1)).select(F.col(key).alias("_id"), F.col("quality").alias("_y"))
     some = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(TRAIN_ROWS)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(some), F.col("_key") == F.col("_id")).select("text", F.col("_y").cast("double").alias("y"))
+    rows = lean(docs).select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(some), F.col("_key") == F.col("_id")).select("text", F.col("_y").cast("double").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -146,7 +147,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "
             found = model.forward(x, n)[-1] if model else np.full(len(n), 0.5)
             yield pa.record_batch([batch["doc_id"], batch["held_out"], pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
+    rows = lean(docs).select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -161,7 +162,7 @@ def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 keep.append(model.forward(*passages(part["text"]))[-1] >= THRESHOLD if model else np.ones(len(part), bool))
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
 
-    return docs.mapInArrow(run, schema)
+    return lean(docs).mapInArrow(run, schema)
 
 
 def op4_attention_quality(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, small
+from .shared import cut, lean, small
 from .words import U, Words, hashes, mix, ragged, seeded, slices, split, windows
 
 WINDOW, PAIR_ROUNDS, EDGE, LONGEST = 35, 2, 8, 8
@@ -94,7 +94,7 @@ def _local(w: Words, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), F.xxhash64(F.lit(1), body).alias("side"), body.alias("text"))
+    return lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), F.xxhash64(F.lit(1), body).alias("side"), body.alias("text"))
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,10 +9,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(docs: DataFrame) -> DataFrame:
+    """The same frame, whose session from now on sends texts to Python in Arrow batches of a few MB, unless a size is set already: 64 MB a batch and task, held twice, would take much of an executor."""
+    if docs.sparkSession.conf.get(BATCH, None) is None:
+        docs.sparkSession.conf.set(BATCH, "4m")
+    return docs
+
+
 def folder(spark: SparkSession) -> str:
-    """A new folder's URI under ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """A new folder's URI under ``spark.checkpoint.dir``. Where that is unset, a temporary one, but only on a local master: other machines couldn't read it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="codexweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -47,8 +59,8 @@ def before(df: DataFrame, by: str, value: str, name: str, block: int = 1024) ->
     return df.withColumn("_inside", inside).join(totals.drop("_total"), "_block").withColumn(name, F.col("_inside") + F.col("_base")).drop("_inside", "_base", "_block")
 
 
-def small(df: DataFrame, limit_mb: float = 16) -> DataFrame:
-    """A table made by ``cut``, or one cut here, marked for broadcast if its files are within the limit; else left to a shuffled join."""
+def small(df: DataFrame, limit_mb: float = 4) -> DataFrame:
+    """A table made by ``cut``, or one cut here, marked for broadcast if its compressed files are within the limit (some ten times that when decoded); else left to a shuffled join."""
     spark = df.sparkSession
     if not df.inputFiles():
         return df

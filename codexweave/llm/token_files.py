@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import before, cut, folder, partitions
+from .shared import before, cut, folder, lean, partitions
 from .tokens import encoder, with_end
 from .words import slices
 
@@ -64,8 +64,11 @@ class _Rows:
         self.writer.close()
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, length: int = 2048, spaced: bool = True, wide: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, length: int = 2048, spaced: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Write all documents' ids in ascending ``key`` under ``path``; the manifest: file, part, n_tokens."""
+    from tokenizers import Tokenizer
+
+    wide = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) > 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -78,7 +81,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, length: int =
         listed = pa.schema([("doc_id", pa.int64())])
         with store.open_output_stream(f"{names[0]}.{attempt}") as a, store.open_output_stream(f"{names[1]}.{attempt}") as b:
             rows, documents, total = _Rows(a, _schema(length, wide), length), pa.ipc.new_file(b, listed), 0
-            for batch in slices(batches, limit=8 << 20):
+            for batch in slices(batches, limit=2 << 20):
                 ids, counts = with_end(*encoder(tokenizer, spaced).encode(batch["text"]), end_id)
                 starts = np.zeros(len(ids), bool)
                 starts[np.cumsum(counts) - counts] = True
@@ -91,7 +94,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, length: int =
             store.move(f"{name}.{attempt}", name)
         yield pa.record_batch([pa.array([f"{part:06d}"]), pa.array([part], pa.int64()), pa.array([total], pa.int64())], names=["file", "part", "n_tokens"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     return cut(dealt.mapInArrow(run, "file string, part long, n_tokens long"))

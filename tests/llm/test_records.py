@@ -244,6 +244,8 @@ def test_neighbours_odd_rows(spark):
     found = sorted((r["rank"], r["vec_id"]) for r in neighbours.search(ties, ties.filter("vec_id = 0"), 5).collect())
     assert [v for _, v in found] == [1, 2, 3, 4, 5]
     assert neighbours.search(vectors(spark, []), vectors(spark, []), 5).count() == 0
+    twice = vectors(spark, some).unionByName(vectors(spark, [some[20]]))
+    assert [v for q, v in sorted((r["rank"], r["vec_id"]) for r in neighbours.search(vectors(spark, some), twice.filter("vec_id = 20"), 5).collect())] == [v for v, _ in truth[20]]
     few = vectors(spark, some[:3])
     assert neighbours.search(few, few.filter("vec_id = 0"), 20).count() == 2
 
