@@ -111,18 +111,68 @@ def test_lines(spark):
 
 
 def test_fuzzy_lines(spark):
-    """All pairs of lines whose SimHashes are within the distance, by brute force, and similar enough are linked."""
-    base = [prose(60) for _ in range(4)]
-    docs = [(i, x) for i, x in enumerate(base)] + [(10 + 10 * i + k, x.replace(x.split()[5 * k], x.split()[5 * k] + "q", 1)) for i, x in enumerate(base) for k in range(8)]
-    sims = {r["doc_id"]: r["sim"] for r in lines.occurrences(frame(spark, docs)).collect()}
-    parent = {i: i for i, _ in docs}
-    for n, (i, x) in enumerate(docs):
-        for k, y in docs[n + 1 :]:
-            if (sims[i] ^ sims[k]).bit_count() <= lines.DISTANCE and brute.distance(x, y) <= int(max(len(x), len(y)) * (1 - lines.SIMILARITY) + 1e-9):
-                brute.join(parent, i, k)
+    """Of all pairs within the edit similarity, nine in ten are linked at each length; nothing else is. No SimHash or segment is used here."""
+    rng = random.Random(8)
+
+    def edited(line: str, how: int) -> str:
+        w = line.split()
+        i = rng.randrange(len(w))
+        if how == 0:
+            w[i] = ("q" + w[i][1:]) if len(w[i]) > 1 else "q"
+        elif how == 1:
+            w[i] = "".join(rng.choice("qxz") for _ in w[i])
+        elif how == 2:
+            w.insert(i, "qq")
+        else:
+            del w[i]
+        return " ".join(w)
+
+    docs, family = {}, {}
+    for words in (8, 12, 15, 20, 40, 47, 80):
+        for _ in range(8):
+            base = prose(words)
+            for x in [base, *[edited(base, k % 4) for k in range(7)]]:
+                docs.setdefault(x, len(docs))
+                family.setdefault((words, base), []).append(docs[x])
+    docs = {i: x for x, i in docs.items()}
+    parent, pairs = {i: i for i in docs}, {}
+    for (words, _), members in family.items():
+        for n, i in enumerate(sorted(set(members))):
+            for k in sorted(set(members))[n + 1 :]:
+                allowed = int(max(len(docs[i]), len(docs[k])) * (1 - lines.SIMILARITY) + 1e-9)
+                if brute.distance(docs[i], docs[k]) <= allowed:
+                    pairs[i, k] = words
+                    brute.join(parent, i, k)
+    df = frame(spark, list(docs.items())).coalesce(1)
+    members = lines.blocks(lines.occurrences(df).groupBy("a", "b").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.min("segments").alias("segments")))
+    found = lines.fetched(df, members)
+    placed = members.join(found.drop("line"), "id")
+    none = spark.createDataFrame([], placed.select(F.col("id").alias("node"), F.col("id").alias("component")).schema)
+    linked = {tuple(sorted((r["u"]["doc_id"], r["v"]["doc_id"]))) for r in lines.others(placed, found, none).collect()}
+    assert linked <= set(pairs)
+    share = {n: (sum(p in linked for p, m in pairs.items() if m == n), sum(m == n for m in pairs.values())) for n in set(pairs.values())}
+    assert all(a >= 0.9 * b and b > 20 for a, b in share.values()), share
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(df).collect()}
+    gone, expected = {i for i, t in got.items() if t == ""}, {i for i in parent if parent[i] != i}
+    assert gone <= expected and len(gone) >= 0.95 * len(expected)
+    assert all(t in ("", docs[i]) for i, t in got.items())
+
+
+def test_lines_of_a_large_block(spark):
+    """Lines that share their beginning but little else stay; those that are similar to another one than the block's first go."""
+    start = prose(10)
+    some = [f"{start} {prose(14)}" for _ in range(60)]
+    docs = [(i, x) for i, x in enumerate(some)] + [(1000 + i, x + "q") for i, x in enumerate(some) if i % 3 == 1]
     got = {r["doc_id"]: r["text"] for r in lines.dedup(frame(spark, docs)).collect()}
-    assert {i for i, t in got.items() if t == ""} == {i for i in parent if parent[i] != i} != set()
-    assert all(t in ("", dict(docs)[i]) for i, t in got.items())
+    assert {i for i, t in got.items() if t == ""} == {i for i, _ in docs if i >= 1000}
+
+
+def test_lines_and_clashing_columns(spark):
+    names = ["n_removed", "n_lines", "_id", "_places", "_row", "_lines", "row", "pos", "places", "d", "left", "lines", "segments"]
+    df = spark.createDataFrame([(i, f"{LINES[0]}\n{LINES[i]}", *range(len(names))) for i in range(1, 4)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = sorted(lines.dedup(df).collect())
+    assert [r["n_removed"] for r in got] == [0, 1, 1] and [r["text"] for r in got] == [f"{LINES[0]}\n{LINES[1]}", LINES[2], LINES[3]]
+    assert all(r[n] == k for r in got for k, n in enumerate(names) if k > 1)
 
 
 def test_repeated_rows_of_lines(spark):
@@ -176,6 +226,27 @@ def test_pipeline_odd_inputs(spark, stage):
     f(spark, spark.createDataFrame([(1, None, None, None, None, 1, 2), (1, None, None, None, None, 1, 2), (2, "", "", "", 0, 1, 2), (3, prose(30), None, "s", 9, None, None)], like), FOLDER).collect()
 
 
+def test_pipeline_rows_of_null_and_repeated_ids(spark):
+    """One survivor of each text, whatever the ids; contaminated rows go, with or without an id; columns of any name stay."""
+    stages = dict(corpus_pipeline.STAGES)
+    a, b, c, d = (prose(60) for _ in range(4))
+    like = "doc_id long, text string, n_chars long, row long, cluster long, kept int, _id int, x int, twin int"
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, c), (None, c), (4, d), (4, d), (5, None), (5, None), (6, "")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, 6, 7) for i, t in rows], like)
+    left = stages["MinHash near-dedup"](spark, df, FOLDER)
+    assert left.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (4, d), (5, None), (5, None), (6, "")], key=str)
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first()["text"]
+    dirty = f"{prose(50)} {item} {prose(50)}"
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, 6, 7) for i, t in [(1, dirty), (None, dirty), (1, a), (None, b), (2, c)]], like)
+    left = stages["benchmark decontamination"](spark, df, FOLDER)
+    assert left.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, a), (None, b), (2, c)], key=str)
+    clash = spark.createDataFrame([(1, f"{LINES[0]}\n{LINES[1]}", 1, 2, 3, 4, 5, 6, 7), (2, LINES[0], 1, 2, 3, 4, 5, 6, 7)], "doc_id long, text string, n_chars long, n_removed long, n_lines long, _row int, left int, d int, places int")
+    left = stages["line dedup"](spark, clash, FOLDER).collect()
+    assert [tuple(r) for r in left] == [(1, f"{LINES[0]}\n{LINES[1]}", 1, 2, 3, 4, 5, 6, 7)]
+
+
 def test_every_operator_is_registered():
     names = list(entries.queries())
     assert [x.split("_")[0] for x in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
