@@ -18,35 +18,65 @@ def effective(df: DataFrame, values: DataFrame, path: str, value: str, name: str
     return df.join(found, path, "left")
 
 
-def roots(edges: DataFrame, node: str, parent: str, most: int = 40) -> DataFrame:
-    """node, root: parents followed to the top by doubling, so the steps grow with the depth's logarithm.
+def _edges(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """_n, _up: each node's known parent, itself where there is none."""
+    known = edges.select(F.col(node).alias("_p")).distinct()
+    return edges.join(known, F.col(parent) == F.col("_p"), "left").select(F.col(node).alias("_n"), F.coalesce("_p", node).alias("_up"))
 
-    An edge to an unknown node stops there at the last known one; nodes on a cycle get the least node of the cycle that doubling meets.
+
+def _doubled(jump: DataFrame) -> DataFrame:
+    far = jump.select(F.col("_n").alias("_m"), F.col("_up").alias("_top"))
+    return jump.join(far, F.col("_up") == F.col("_m")).select("_n", F.col("_top").alias("_up")).checkpoint()
+
+
+def _settled(jump: DataFrame) -> DataFrame:
+    """_n, _up: a node so far up that only roots and nodes of cycles remain as _up: doubled until their number stays."""
+    seen = None
+    while True:
+        found = jump.agg(F.count_distinct("_up")).first()[0]
+        if found == seen:
+            return jump
+        seen, jump = found, _doubled(jump)
+
+
+def roots(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """node, root: parents followed to the top by doubling, so the rounds grow with the depth's logarithm, without a limit.
+
+    An edge to an unknown node stops there at the last known one. A walk that meets a node again ends there: a node of a cycle is its own
+    root, and what leads into a cycle has the node where it enters it.
     """
-    known = edges.select(F.col(node).alias("_p"))
-    jump = edges.join(known, F.col(parent) == F.col("_p"), "left").select(F.col(node), F.coalesce(F.col("_p"), F.col(node)).alias("up"))
-    for _ in range(most):
-        far = jump.select(F.col(node).alias("_n"), F.col("up").alias("_up"))
-        after = jump.join(far, F.col("up") == F.col("_n")).select(node, "up", F.col("_up").alias("top")).checkpoint()
-        jump = after.select(node, F.col("top").alias("up"))
-        if after.filter("up <> top").isEmpty():
-            break
-    return jump.withColumnRenamed("up", "root")
-
-
-def cyclic(edges: DataFrame, node: str, parent: str, most: int = 40) -> DataFrame:
-    """The nodes from which following parents never ends."""
-    left = edges.filter(F.col(parent).isNotNull()).select(node, parent)
-    for _ in range(most):
-        inner = left.join(left.select(F.col(node).alias("_n")), F.col(parent) == F.col("_n"), "left_semi").checkpoint()
-        if inner.count() == left.count():
-            break
-        left = inner
-    return left.select(node)
-
-
-def forest(df: DataFrame, node: str, parent: str, order: str, levels: int) -> DataFrame:
-    """Trees of up to ``levels`` as nested arrays: roots with ``children`` in order, built from the leaves upwards."""
+    once = _edges(edges, node, parent).checkpoint()
+    ends = _settled(once).select(F.col("_up").alias("_e")).distinct()
+    jump = once.join(ends, F.col("_n") == F.col("_e"), "left").select("_n", F.when(F.col("_e").isNotNull(), F.col("_n")).otherwise(F.col("_up")).alias("_up"))
+    moved = True
+    while moved:
+        after = _doubled(jump)
+        moved = not after.join(jump.toDF("_n", "_before"), "_n").filter("_up <> _before").isEmpty()
+        jump = after
+    return jump.select(F.col("_n").alias(node), F.col("_up").alias("root"))
+
+
+def cyclic(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """The nodes from which following parents never ends, at any depth."""
+    once = _edges(edges, node, parent).checkpoint()
+    looped = once.filter("_n <> _up").select(F.col("_n").alias("_c"))
+    return _settled(once).join(looped, F.col("_up") == F.col("_c"), "left_semi").select(F.col("_n").alias(node))
+
+
+def _levels(df: DataFrame, node: str, parent: str) -> int:
+    """How deep the trees are; raises if some rows hang on no root."""
+    level, n, rest = df.filter(F.col(parent).isNull()).select(node).checkpoint(), 0, df.count()
+    while size := level.count():
+        n, rest = n + 1, rest - size
+        level = df.join(level.select(F.col(node).alias("_p")), F.col(parent) == F.col("_p"), "left_semi").select(node).checkpoint()
+    if rest:
+        raise ValueError(f"{rest} rows of the forest hang on no root")
+    return n
+
+
+def forest(df: DataFrame, node: str, parent: str, order: str) -> DataFrame:
+    """Trees as nested arrays: roots with ``children`` in order, built from the leaves upwards; rows that hang on no root are an error."""
+    levels = _levels(df, node, parent)
     built = df.select(node, parent, order, F.array().cast("array<string>").alias("children"))
     for _ in range(levels - 1):
         packed = F.to_json(F.struct(node, "children"))
@@ -55,8 +85,9 @@ def forest(df: DataFrame, node: str, parent: str, order: str, levels: int) -> Da
     return built.filter(F.col(parent).isNull()).select(node, order, "children")
 
 
-def paths(df: DataFrame, keys: list[str], order: list[str], depth: str, label: str, levels: int) -> DataFrame:
-    """Paths from a list coded by depth: the last label of each smaller depth before a row, closed by any shallower row."""
+def paths(df: DataFrame, keys: list[str], order: list[str], depth: str, label: str) -> DataFrame:
+    """Paths from a list coded by depth, as deep as it goes: the last label of each smaller depth before a row, closed by any shallower row."""
+    levels = (df.agg(F.max(depth)).first()[0] or 0) + 1
     window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = df
     for d in range(levels):

@@ -33,11 +33,11 @@ def changes(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame
     return joined.select(key, F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed").alias("change"))
 
 
-def contained(texts: DataFrame, quotes: DataFrame, form: str, quote: str, words: int = 8) -> DataFrame:
+def contained(texts: DataFrame, quotes: DataFrame, form: str, quote: str, key: str, words: int = 8) -> DataFrame:
     """Pairs where the padded word form of a text holds that of a quote.
 
     Quotes are found by the hashes of their first ``words`` words (all of a shorter one's) among the texts' word runs of that
-    length, then tested in full.
+    length: only ``key`` and hashes are exploded, and the texts of the candidates alone are tested in full.
     """
     split = F.split(F.trim(F.col(quote)), " ")
     size = F.least(F.size(split), F.lit(words))
@@ -50,5 +50,6 @@ def contained(texts: DataFrame, quotes: DataFrame, form: str, quote: str, words:
         places = F.sequence(F.lit(1), F.size("_h") - (n - 1))
         return F.when(F.size("_h") >= n, F.transform(places, lambda i: F.xxhash64(F.slice("_h", i, F.lit(n))))).otherwise(none)
 
-    spread = hashed.withColumn("_k", F.explode(F.array_distinct(F.concat(none, *[runs(n) for n in sizes])))).drop("_h")
-    return spread.join(keyed, "_k").filter(F.contains(form, F.col(quote))).drop("_k", "_n")
+    spread = hashed.withColumn("_k", F.explode(F.array_distinct(F.concat(none, *[runs(n) for n in sizes])))).select(key, "_k")
+    met = spread.join(keyed, "_k").drop("_k", "_n").distinct()
+    return met.join(texts, key).filter(F.contains(form, F.col(quote)))

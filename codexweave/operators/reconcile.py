@@ -114,5 +114,9 @@ def not_additive(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFr
 
     removed = old.join(new.select(key), key, "left_anti").select(key, F.lit("removed").alias("reason"))
     kept = old.select(key, F.col(order).alias("_a")).join(new.select(key, F.col(order).alias("_b")), key)
-    back = F.lag("_b").over(Window.orderBy("_a")) > F.col("_b")
-    return removed.unionByName(kept.withColumn("_m", back).filter("_m").select(key, F.lit("moved").alias("reason")))
+    # Ranges of _a, each in a task; what lies before a range's first row is the last row of the range before it.
+    dealt = kept.repartitionByRange("_a").withColumn("_r", F.spark_partition_id()).checkpoint()
+    seams = dealt.groupBy("_r").agg(F.max_by("_b", "_a").alias("_last")).withColumn("_last", F.lag("_last").over(Window.orderBy("_r")))
+    before = F.coalesce(F.lag("_b").over(Window.partitionBy("_r").orderBy("_a")), "_last")
+    moved = dealt.join(F.broadcast(seams), "_r").withColumn("_m", before > F.col("_b")).filter("_m")
+    return removed.unionByName(moved.select(key, F.lit("moved").alias("reason")))

@@ -34,9 +34,9 @@ def has_child_flag(t):
     return R.flagged(t.orders.select("o_orderkey"), t.lineitem.filter("l_returnflag = 'R'"), "o_orderkey", "l_orderkey", "has_return")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def orphan_anti_join(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return t.customer.join(t.orders.filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, changes, structure  # noqa: F401
+from . import catalogue, changes, reading, structure  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 

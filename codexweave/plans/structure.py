@@ -28,9 +28,9 @@ def footnote_style_renumber(t):
     return N.renumber(notes, ["o_custkey"], ["o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], "note_number").select("o_custkey", "o_orderkey", "l_linenumber", "l_partkey", "l_quantity", "note_number")
 
 
-@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS position FROM conversations WHERE turn % 3 <> 1")
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS position FROM conversations")
 def dense_positions(t):
-    return N.renumber(t.conversations.filter("turn % 3 <> 1"), ["conv_id"], ["turn", "role"], "position", start=0).select("conv_id", "turn", "role", "position")
+    return N.renumber(t.conversations, ["conv_id"], ["turn", "role"], "position", start=0).select("conv_id", "turn", "role", "position")
 
 
 @query("""
@@ -188,7 +188,7 @@ def quote_containment(t):
     """Quotes meet texts by their first eight words, hashed, instead of each with each."""
     forms = t.documents.select("doc_id", X.contained_form(F.col("text")).alias("form"))
     quotes = t.benchmark.select("item_id", X.contained_form(F.col("text")).alias("quote"))
-    return N.contained(forms, quotes, "form", "quote").select("doc_id", "item_id")
+    return N.contained(forms, quotes, "form", "quote", "doc_id").select("doc_id", "item_id")
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
@@ -224,14 +224,19 @@ def sentence_split_simple(t):
 @query("""
 SELECT s_suppkey, 'G' || (s_suppkey // 10) AS a, 'S' || s_suppkey AS b FROM supplier WHERE s_suppkey % 10 <> 0""")
 def depth_coded_paths(t):
-    rows = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 10 == 0, 0).otherwise(1).alias("depth"), F.when(F.col("s_suppkey") % 10 == 0, F.format_string("G%d", F.floor(F.col("s_suppkey") / 10))).otherwise(F.format_string("S%d", "s_suppkey")).alias("label"), F.lit(1).alias("book"))
-    out = T.paths(rows, ["book"], ["s_suppkey"], "depth", "label", 2)
+    rows = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 10 == 0, 0).otherwise(1).alias("depth"), F.when(F.col("s_suppkey") % 10 == 0, F.format_string("G%d", F.floor(F.col("s_suppkey") / 10))).otherwise(F.format_string("S%d", "s_suppkey")).alias("label"), F.floor(F.col("s_suppkey") / 10).alias("book"))
+    out = T.paths(rows, ["book"], ["s_suppkey"], "depth", "label")
     return out.filter("depth = 1").select("s_suppkey", F.get("path", F.lit(0)).alias("a"), F.get("path", F.lit(1)).alias("b"))
 
 
-@query("SELECT * FROM (VALUES ('12', 12), ('247b', 247), ('xiv', -9986), ('IX', -9991), ('plate', 0), ('MCM', -8100)) v(label, page_order)")
+@query("""
+SELECT p_partkey, label, CASE WHEN p_size % 3 = 0 THEN p_size WHEN p_size % 3 = 1 THEN p_size ELSE -10000 + 10 * (1 + p_size // 10) + 6 END AS page_order
+FROM (SELECT p_partkey, p_size, CASE p_size % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_size || 'b' ELSE repeat('x', CAST(1 + p_size // 10 AS INT)) || 'vi' END AS label FROM part)""")
 def page_labels_order(t):
-    return t.spark.createDataFrame([(x,) for x in ("12", "247b", "xiv", "IX", "plate", "MCM")], "label string").select("label", X.page_order(F.col("label")).alias("page_order"))
+    """Numbers, numbers with a letter, and Roman numerals, which come before all numbers."""
+    size = F.col("p_size")
+    label = F.when(size % 3 == 0, size.cast("string")).when(size % 3 == 1, F.concat(size.cast("string"), F.lit("b"))).otherwise(F.concat(F.repeat(F.lit("x"), (1 + F.floor(size / 10)).cast("int")), F.lit("vi")))
+    return t.part.select("p_partkey", label.alias("label")).withColumn("page_order", X.page_order(F.col("label")))
 
 
 @query("""

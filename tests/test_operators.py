@@ -46,9 +46,16 @@ def test_overlap_join(spark):
 
 def test_trees(spark):
     edges = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5)], "n int, p int")
-    assert sorted(tuple(r) for r in T.roots(edges.filter("n < 5"), "n", "p").collect()) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+    assert sorted(tuple(r) for r in T.roots(edges, "n", "p").collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6)]
     assert sorted(r["n"] for r in T.cyclic(edges, "n", "p").collect()) == [5, 6]
-    trees = T.forest(spark.createDataFrame([(1, None, 0), (2, 1, 1), (3, 1, 0), (4, 3, 0)], "n int, p int, o int"), "n", "p", "o", 3).first()
+    deep = spark.createDataFrame([(0, None), *[(i, i - 1) for i in range(1, 90)], (100, 101), (101, 102), (102, 100), (103, 101), (104, 103)], "n int, p int")
+    assert {tuple(r) for r in T.roots(deep, "n", "p").collect()} == {(i, 0) for i in range(90)} | {(100, 100), (101, 101), (102, 102), (103, 101), (104, 101)}
+    assert sorted(r["n"] for r in T.cyclic(deep, "n", "p").collect()) == [100, 101, 102, 103, 104]
+    with pytest.raises(ValueError):
+        T.forest(spark.createDataFrame([(1, None, 0), (2, 3, 0), (3, 2, 0)], "n int, p int, o int"), "n", "p", "o")
+    coded = spark.createDataFrame([(i, i, f"l{i}") for i in range(5)], "i int, d int, l string").withColumn("b", F.lit(1))
+    assert T.paths(coded, ["b"], ["i"], "d", "l").filter("i = 4").first()["path"] == ["l0", "l1", "l2", "l3", "l4"]
+    trees = T.forest(spark.createDataFrame([(1, None, 0), (2, 1, 1), (3, 1, 0), (4, 3, 0)], "n int, p int, o int"), "n", "p", "o").first()
     assert [json.loads(x)["n"] for x in trees["children"]] == [3, 2]
 
 
@@ -121,3 +128,26 @@ def test_streams(spark, tmp_path):
     limited = E.rate_limited(E.source(spark, source, schema), "user_id", 2, 0.001)
     run(limited.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")))
     assert sorted(r["allowed"] for r in spark.table("limited").collect()) == [False, False, True, True]
+
+
+def test_not_additive_across_ranges(spark):
+    from codexweave.operators import reconcile as C
+
+    old = spark.createDataFrame([(i, i) for i in range(200)], "k int, n int").repartition(4)
+    new = spark.createDataFrame([(i, i if i != 100 else 0) for i in range(200) if i % 7], "k int, n int")
+    assert sorted(tuple(r) for r in C.not_additive(old, new, "k", "n").collect()) == sorted([(i, "removed") for i in range(0, 200, 7)] + [(100, "moved")])
+
+
+def test_predicates(spark):
+    from codexweave.operators import predicates as P
+
+    df = spark.createDataFrame([(1, "50%_a"), (2, "50 xa"), (3, None)], "k int, v string")
+    found = lambda d: sorted(r["k"] for r in d.collect())
+    assert found(df.filter(P.contains(F.col("v"), "%_A"))) == [1] and found(df.filter(P.contains(F.col("v"), "0_X", False))) == [2]
+    assert found(P.among(df, "k", [])) == [] and found(P.optional(df, {"k": None, "v": None})) == [1, 2, 3] and found(P.optional(df, {"k": 2})) == [2]
+    texts = ["", "abc", "aé", "日本語", "a\U0001f600b"]
+    for n in range(1, 9):
+        got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", P.snippet(F.col("x"), n).alias("s")).collect()
+        assert {r["x"]: r["s"] for r in got} == {x: x.encode()[:n].decode(errors="ignore") for x in texts}
+    page = P.anchored_page(spark.range(10).toDF("n"), "n", 0, 0, 99).collect()
+    assert len(page) == 10 and not page[0]["has_more"] and not page[0]["has_previous"]
