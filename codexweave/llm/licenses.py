@@ -5,7 +5,8 @@ longest increasing subsequence of these anchors stays, and the gaps between them
 equal ends first. Stretches are tried wherever one of the template's words could begin one: of an alignment that covers
 ``COVER`` of a template at most a fifth of its words is missing, so one of its rarest fifth (and one more) of words, by their count in the
 text, is there; each of their places is a pivot, with as many words on either side as the template has. A text that holds
-too few of a template's words for that cover is passed over at once. Of overlapping stretches that with most words aligned stays, then the better covered.
+too few of a template's words for that cover is passed over at once. A stretch lacking a word that tells the license from others
+(its name, its version, NC, ND, SA) doesn't count. Of overlapping stretches that with most words aligned stays, then the better covered.
 
 Null and empty texts hold nothing; a stretch may be found in any number of documents and places; of ties the earlier one, then
 the earlier template stays; repeated rows are found each; a null doc_id is kept; an empty table gives no rows; other
@@ -32,11 +33,16 @@ COVER = 0.8
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0 header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "Apache short": "Released under the Apache License",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "Licensed under CC BY 4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
     "CC long": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "MIT": "Released under the MIT License",
@@ -44,6 +50,25 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Rights reserved": "Copyright All rights reserved",
 }
+#: Words that tell a notice from others of the same form; a stretch without one of them is not that notice.
+TELLING = {
+    "Apache-2.0": "Apache 2 0",
+    "Apache-2.0 header": "Apache 2 0",
+    "Apache short": "Apache",
+    "CC-BY-4.0": "CC BY 4 0",
+    "CC-BY-NC-4.0": "CC BY NC 4 0",
+    "CC-BY-NC-ND-4.0": "CC BY NC ND 4 0",
+    "CC-BY-NC-SA-4.0": "CC BY NC SA 4 0",
+    "CC-BY-ND-4.0": "CC BY ND 4 0",
+    "CC-BY-SA-4.0": "CC BY SA 4 0",
+    "CC long": "Creative Commons Attribution 4 0",
+    "GPL-2.0": "GNU General 2",
+    "GPL-3.0": "GNU General 3",
+    "GPL header": "GNU General",
+    "MIT": "MIT",
+    "MPL-2.0": "Mozilla 2 0",
+    "Rights reserved": "Copyright rights reserved",
+}
 
 
 def align(x: list, y: list) -> list[tuple[int, int]]:
@@ -82,8 +107,8 @@ def align(x: list, y: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def notices(h: np.ndarray, templates: dict[str, np.ndarray]) -> list[tuple[str, int, int, float]]:
-    """License, first word, word after the last, coverage of the stretches of one text (hashes of its words)."""
+def notices(h: np.ndarray, templates: dict[str, np.ndarray], telling: dict[str, list[int]]) -> list[tuple[str, int, int, float]]:
+    """License, first word, word after the last, coverage of the stretches of one text (hashes of its words); each of a license's ``telling`` words must be aligned."""
     found = []
     for order, (name, words) in enumerate(templates.items()):
         n = len(words)
@@ -104,7 +129,7 @@ def notices(h: np.ndarray, templates: dict[str, np.ndarray]) -> list[tuple[str,
             low = max(p - n, 0)
             part = h[low : p + n + 1].tolist()
             pairs = align(part, words.tolist())
-            if len(pairs) >= n - lack:
+            if len(pairs) >= n - lack and {part[x] for x, _ in pairs}.issuperset(telling.get(name, ())):
                 found.append((-len(pairs), -len(pairs) / n, low + pairs[0][0], order, low + pairs[-1][0] + 1, name))
     kept = []
     for _, cover, start, _, end, name in sorted(set(found)):
@@ -113,8 +138,9 @@ def notices(h: np.ndarray, templates: dict[str, np.ndarray]) -> list[tuple[str,
     return sorted(kept, key=lambda x: (x[1], x[0]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text", key: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, telling: dict[str, str] = TELLING, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, license, first_word, end_word (exclusive), coverage: one row per notice found."""
+    needed = {name: bare(pa.array([t]))[1].tolist() for name, t in telling.items()}
     hashed = {name: bare(pa.array([t]))[1] for name, t in templates.items()}
     every = np.unique(np.concatenate(list(hashed.values())))
 
@@ -134,7 +160,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "te
             for words in hashed.values():
                 columns = np.searchsorted(every, words)
                 able |= present[:, columns].sum(1) >= len(words) - int((1 - COVER) * len(words) + 1e-9)
-            out = [(batch["doc_id"][i].as_py(), *x) for i in np.flatnonzero(able).tolist() for x in notices(h[w.first[i] : w.first[i + 1]], hashed)]
+            out = [(batch["doc_id"][i].as_py(), *x) for i in np.flatnonzero(able).tolist() for x in notices(h[w.first[i] : w.first[i + 1]], hashed, needed)]
             columns = list(zip(*out)) or [[]] * 5
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "license", "first_word", "end_word", "coverage"])

@@ -5,8 +5,10 @@ import re
 
 import brute
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from codexweave.llm import entries, leaks, licenses, lines
+from codexweave.llm.words import bare
 from oracle import FOLDER
 from pyspark.sql import functions as F
 
@@ -42,6 +44,23 @@ def test_licenses(spark):
     assert licenses.op5_patience_licenses(spark, FOLDER).count() > 0
 
 
+def test_notices_are_not_misnamed():
+    """Notices of one form differ by their telling words, and a near notice is not named by another."""
+    cases = {
+        "Released under the Apache License": ["Apache short"], "Released under the MIT License": ["MIT"], "Released under the Foo License": [],
+        "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0"], "Licensed under CC BY 4.0": ["CC-BY-4.0"], "Licensed under CC BY-NC-SA 4.0": ["CC-BY-NC-SA-4.0"],
+        "This work is licensed under the GNU General Public License, version 2": ["GPL-2.0"],
+        "This work is licensed under the GNU General Public License, version 3": ["GPL-3.0"],
+        "This work is licensed under the GNU General Public License, version 9": [],
+    }
+    hashed = {name: bare(pa.array([t]))[1] for name, t in licenses.TEMPLATES.items()}
+    telling = {name: bare(pa.array([t]))[1].tolist() for name, t in licenses.TELLING.items()}
+    assert set(telling) <= set(hashed) and all(set(x) <= set(hashed[name].tolist()) for name, x in telling.items())
+    for text, names in cases.items():
+        for words in (text, f"{prose(40)} {text.upper()} {prose(40)}"):
+            assert [x[0] for x in licenses.notices(bare(pa.array([words]))[1], hashed, telling)] == names, words
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(2)
     for _ in range(300):
