@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as B
 from ..operators import lexicon as L
+from ..operators import library as C
 from .tables import query
 
 
@@ -88,3 +89,41 @@ def modernised_texts(t):
     texts = t.conversations.select(F.replace("text", F.lit("s"), F.lit("ſ")).alias("text")).distinct()
     keyed = texts.select(F.col("text").alias("key"), "text")
     return L.modernised(keyed, "key", "text", _entries(t)).withColumnRenamed("key", "text")
+
+
+@query("""
+WITH RECURSIVE src AS (SELECT p_partkey AS id, p_name AS title, CASE WHEN p_size % 5 = 0 THEN 10 WHEN p_size % 5 <> 1 THEN p_size END AS year, CASE WHEN p_partkey % 4 IN (2, 3) THEN p_partkey - 1 END AS up, CASE WHEN p_partkey % 8 = 4 THEN p_partkey - 4 WHEN p_partkey % 16 = 8 THEN p_partkey - 8 END AS parent FROM part WHERE p_size <> 13),
+r AS (SELECT id, id AS root, 0 AS d FROM src UNION ALL SELECT r.id, s.up, d + 1 FROM r JOIN src s ON s.id = r.root WHERE s.up IN (SELECT id FROM src)), roots AS (SELECT id, arg_max(root, d) AS root FROM r GROUP BY 1),
+u AS (SELECT id, id AS top, 0 AS d FROM src UNION ALL SELECT u.id, s.parent, d + 1 FROM u JOIN src s ON s.id = u.top WHERE s.parent IN (SELECT id FROM src)), tops AS (SELECT id, arg_max(top, d) AS top FROM u GROUP BY 1),
+b AS (SELECT l_orderkey AS book, l_partkey AS source, CASE l_linestatus WHEN 'O' THEN 'en' ELSE 'de' END AS lang, 'b' || l_orderkey AS slug FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 20),
+i AS (SELECT source, lang, slug, '' AS node FROM b UNION ALL SELECT l_partkey, lang, slug, 'n' || l_suppkey FROM lineitem JOIN b ON book = l_orderkey WHERE l_linenumber = 2 AND l_quantity > 20),
+v AS (SELECT i.*, root, title, (source <> root, lang, slug, node, source) AS o FROM i JOIN roots ON id = source JOIN src USING (id)),
+w AS (SELECT root AS work, string_agg(concat_ws('/', lang, slug, node, source), ' ' ORDER BY o) AS versions, count(*) AS n, arg_min(title, o) FILTER (lang = 'en') AS english FROM v GROUP BY 1),
+p AS (SELECT l_partkey AS work, l_returnflag AS role, list(s_name ORDER BY l_orderkey, l_suppkey) AS names, arg_min(l_suppkey, (l_orderkey, l_suppkey)) AS person FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 3 AND l_quantity > 45 GROUP BY 1, 2),
+k AS (SELECT w.*, year, parent, title AS own, coalesce(english, title) AS title, coalesce(a.person, e.person) AS person, CASE WHEN a.person IS NOT NULL THEN array_to_string(a.names[2:], ',') ELSE '' END AS co, CASE WHEN a.person IS NULL THEN array_to_string(e.names, ',') END AS eds
+FROM w JOIN src ON src.id = w.work LEFT JOIN p a ON a.work = w.work AND a.role = 'A' LEFT JOIN p e ON e.work = w.work AND e.role = 'R'),
+h AS (SELECT work AS top, CASE WHEN person IS NULL THEN 'self' ELSE 'author' END AS kind, coalesce(person, work) AS key, coalesce(s_name, own) AS label FROM k LEFT JOIN supplier ON s_suppkey = person WHERE parent IS NULL),
+m AS (SELECT kind, key, label, k.* FROM h JOIN k ON k.work = top WHERE kind = 'author' OR n > 1 UNION ALL SELECT kind, key, label, k.* FROM k JOIN tops ON id = work JOIN h USING (top) WHERE parent IS NOT NULL)
+SELECT kind, key, label, row_number() OVER (PARTITION BY kind, key ORDER BY year NULLS LAST, title, work) AS place, work, title, year, co AS co_authors, eds AS editors, versions FROM m
+UNION ALL SELECT kind, key, label, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM h WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.kind = h.kind AND m.key = h.key)""")
+def library_catalogue(t):
+    """Parts as sources, of which some translate others and some lie in compilations; lines as books, nodes and persons; a row for each work of a group, and one for a group that lists none."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    sources = t.part.filter("p_size <> 13").select(
+        k.alias("source"),
+        F.col("p_name").alias("title"),
+        F.when(size % 5 != 1, size).alias("published"),
+        F.when(size % 5 == 0, 10).alias("original"),
+        F.when((k % 4).isin(2, 3), k - 1).alias("translation_of"),
+        F.when(k % 8 == 4, k - 4).when(k % 16 == 8, k - 8).alias("parent"),
+    )
+    lines = t.lineitem.withColumn("book", F.col("l_orderkey")).withColumn("source", F.col("l_partkey"))
+    books = lines.filter("l_linenumber = 1 and l_quantity > 20").select("book", "source", F.when(F.col("l_linestatus") == "O", "en").otherwise("de").alias("language"), F.format_string("b%d", "book").alias("slug"))
+    anchors = lines.filter("l_linenumber = 2 and l_quantity > 20").select("book", "source", F.format_string("n%d", "l_suppkey").alias("node"))
+    role = F.when(F.col("l_returnflag") == "A", "author").when(F.col("l_returnflag") == "R", "editor").otherwise("translator")
+    persons = lines.filter("l_linenumber = 3 and l_quantity > 45").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    persons = persons.select("source", role.alias("role"), F.col("book").alias("position"), F.col("l_suppkey").alias("person"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("sort_name"))
+    groups = C.library(sources, C.versions(books, anchors), persons)
+    each = groups.select("kind", "key", "label", F.posexplode_outer("works").alias("p", "w"))
+    shown = F.array_join(F.transform("w.versions", lambda v: F.concat_ws("/", v["language"], v["slug"], F.coalesce(v["node"], F.lit("")), v["source"].cast("string"))), " ")
+    return each.select("kind", "key", "label", (F.col("p") + 1).cast("long").alias("place"), "w.work", "w.title", "w.year", F.array_join("w.co_authors", ",").alias("co_authors"), F.array_join("w.editors", ",").alias("editors"), shown.alias("versions"))

@@ -66,3 +66,37 @@ def test_directives(spark, body, expected):
 
 def test_no_directives(spark):
     assert value(spark, B.quotation_directives(F.lit(None).cast("string"))) is None and value(spark, B.quotation_directives(F.lit(""))) == []
+
+
+def test_library(spark):
+    from codexweave.operators import library as C
+
+    rows = [
+        (1, "Kritik", 1911, 1787, None, None),
+        (2, "Critique", 1929, None, 1, None),
+        (3, "Critica", 1950, None, 2, None),
+        (4, "Works", 1920, None, None, None),
+        (5, "Play", None, None, None, 4),
+        (6, "Ode", 1600, None, None, 5),
+        (7, "Lost", 1900, None, 99, None),
+        (8, "Part", 1900, None, None, 99),
+        (9, "Bible", None, None, None, None),
+        (10, "Bibel", None, None, 9, None),
+        (11, "Early", 1700, None, None, None),
+    ]
+    sources = spark.createDataFrame(rows, "source long, title string, published int, original int, translation_of long, parent long")
+    hosted = [(i, i, "en" if i in (2, 9) else "de", f"b{i}") for i in (1, 2, 3, 4, 7, 8, 9, 10, 11, 77)]
+    books = spark.createDataFrame(hosted, "book long, source long, language string, slug string")
+    anchors = spark.createDataFrame([(4, 5, "play"), (4, 6, "ode"), (99, 6, "none")], "book long, source long, node string")
+    people = [(1, "author", 1, 50, "I Kant", "Kant, I"), (1, "author", 2, 51, "A B", None), (1, "editor", 0, 52, "E", None), (11, "editor", 1, 50, "I Kant", "Kant, I"), (2, "translator", 1, 53, "T", None)]
+    persons = spark.createDataFrame(people, "source long, role string, position long, person long, name string, sort_name string")
+    found = {(r["kind"], r["key"]): r for r in C.library(sources, C.versions(books, anchors), persons).collect()}
+    # Source 8 has an unknown parent and is left out, as is the book of unknown source 77; 7 translates an unknown source and is its own work.
+    assert set(found) == {("author", 50), ("self", 4), ("self", 7), ("self", 9)}
+    early, kant = found["author", 50]["works"]
+    assert (early["work"], early["year"], early["co_authors"], early["editors"]) == (11, 1700, [], ["I Kant"])
+    assert (kant["title"], kant["year"], kant["co_authors"], kant["editors"]) == ("Critique", 1787, ["A B"], None)
+    assert [v["source"] for v in kant["versions"]] == [1, 3, 2] and found["author", 50]["sort_name"] == "Kant, I"
+    assert [(w["work"], w["versions"][0]["node"]) for w in found["self", 4]["works"]] == [(6, "ode"), (5, "play")]
+    assert found["self", 7]["works"] == [] and found["self", 9]["label"] == "Bible"
+    assert [v["source"] for v in found["self", 9]["works"][0]["versions"]] == [9, 10]
