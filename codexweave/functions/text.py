@@ -43,7 +43,8 @@ def sort_name(name: Column) -> Column:
 
 
 def surname(name: Column) -> Column:
-    return F.regexp_extract(F.trim(name), r"(\S+)$", 1)
+    """What stands before the comma of a name to sort by; without a comma the last word."""
+    return F.when(name.contains(","), F.trim(F.substring_index(name, ",", 1))).otherwise(F.regexp_extract(F.trim(name), r"(\S+)$", 1))
 
 
 def like_escaped(query: Column) -> Column:
@@ -116,8 +117,8 @@ def page_order(value: Column) -> Column:
 
 
 def cite_inline(names: Column, original: Column, published: Column) -> Column:
-    """'A', 'A and B' or 'A et al.' with the year, '[orig] pub' for reprints, 'n.d.' without one."""
-    who = F.when(F.size(names) == 0, F.lit(None)).when(F.size(names) == 1, surname(F.get(names, F.lit(0)))).when(F.size(names) == 2, F.concat(surname(F.get(names, F.lit(0))), F.lit(" and "), surname(F.get(names, F.lit(1))))).otherwise(F.concat(surname(F.get(names, F.lit(0))), F.lit(" et al.")))
+    """'A', 'A and B' or 'A et al.' with the year of publication, '[orig] pub' for reprints, 'n.d.' without one; 'Unknown' without names."""
+    who = F.when(F.coalesce(F.size(names), F.lit(0)) <= 0, F.lit("Unknown")).when(F.size(names) == 1, surname(F.get(names, F.lit(0)))).when(F.size(names) == 2, F.concat(surname(F.get(names, F.lit(0))), F.lit(" and "), surname(F.get(names, F.lit(1))))).otherwise(F.concat(surname(F.get(names, F.lit(0))), F.lit(" et al.")))
     reprint = original.isNotNull() & published.isNotNull() & (original != published)
-    year = F.when(reprint, F.concat(F.lit("["), original.cast("string"), F.lit("] "), published.cast("string"))).otherwise(F.coalesce(F.coalesce(original, published).cast("string"), F.lit("n.d.")))
+    year = F.when(reprint, F.concat(F.lit("["), original.cast("string"), F.lit("] "), published.cast("string"))).otherwise(F.coalesce(published.cast("string"), F.lit("n.d.")))
     return F.concat_ws(" ", who, year)

@@ -38,6 +38,10 @@ def test_escapes_and_names(spark):
     assert value(spark, X.md_to_html(F.lit("a *b* **c** ***d***"))) == "a <i>b</i> <b>c</b> <b><i>d</i></b>"
     assert value(spark, X.indent(F.lit("    x"))) == 2
     assert value(spark, X.cite_inline(F.array(F.lit("A One"), F.lit("B Two"), F.lit("C Three")), F.lit(1790), F.lit(1990))) == "One et al. [1790] 1990"
+    none = F.lit(None).cast("int")
+    assert value(spark, X.cite_inline(F.array(F.lit("Di Giovanni, George")), F.lit(1790), none)) == "Di Giovanni n.d."
+    assert value(spark, X.cite_inline(F.array(F.lit("A One"), F.lit("B Two")), none, F.lit(1990))) == "One and Two 1990"
+    assert value(spark, X.cite_inline(F.array().cast("array<string>"), none, F.lit(1990))) == "Unknown 1990"
 
 
 def test_hash_encoding(spark):
