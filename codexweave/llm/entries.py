@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import leaks, licenses, lines, near_dup, neighbours, packing, quality, recompress, secrets, token_files
+from . import chat, leaks, licenses, lines, merkle, near_dup, neighbours, packing, phrases, quality, recompress, secrets, token_files
 
 
 def queries() -> dict:
@@ -19,9 +19,12 @@ def queries() -> dict:
         recompress.op8_recompression_dedup,
         token_files.op9_arrow_token_files,
         lines.op10_line_dedup,
+        chat.op11_typed_chat_parts,
+        phrases.op12_phrase_collocations,
+        merkle.op13_merkle_manifest,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op11_typed_chat_parts": chat.OP11_SQL.strip(), "op12_phrase_collocations": phrases.OP12_SQL.strip(), "op13_merkle_manifest": merkle.OP13_SQL.strip()}
