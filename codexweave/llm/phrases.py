@@ -1,13 +1,13 @@
 """Phrase collocation mining (12): contiguous patterns grown to the right over projected occurrences, depth-first.
 
-Words and then pairs are counted, each from counts made inside tasks. The occurrences of frequent pairs are projected: each gives the
+Words are counted, then pairs of frequent words, these by hashes alone. The occurrences of frequent pairs are projected: each gives the
 words from it onwards, five at most, up to the first pair that is not frequent (no phrase that reaches over it can be). Projections are
 range-sorted, so that all occurrences of a prefix lie together: a task takes its prefixes one by one, splits a prefix's occurrences by the
 next word and goes on into each part that is frequent, deepest first. A hot prefix is simply spread over several ranges: runs that touch
 the edge of a batch pass their support on as it is, and supports are summed at the end.
 
 Which words and pairs are frequent is known to tasks by a bitmap of 2 ** BITS hashes, 16 MB whatever the input: it lets every frequent
-one through and a few others, whose counts then fail. All counts are of strings, scores are decimals of 38 digits.
+one through and a few others, whose counts then fail. All counts that are returned are of strings, scores are decimals of 38 digits.
 
 A null text is an empty one, a null language is ``und`` like the language of that name; rows of one doc_id are different documents; very
 long texts are read whole; equal scores follow by support, then phrase; an empty table gives no rows; further columns are not read.
@@ -15,6 +15,7 @@ long texts are read whole; equal scores follow by support, then phrase; an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import cut, lean, partitions, small
 from .words import EVERY_BYTE, U, hash_spans, mix, raw, slices
 
-LEAST, LONGEST, TOP, BITS = 100, 5, 2000, 27
+LEAST, LONGEST, TOP, BITS, BUCKET = 100, 5, 2000, 27, 1 << 22
 COUNTED = "lang string, phrase string, n long"
 
 _SPLIT, _SPACE, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
@@ -95,21 +96,77 @@ def read(batch: pa.RecordBatch) -> Text:
     return Text(out, place[start], place[stop], langs.indices.to_numpy(zero_copy_only=False)[row] if len(start) else np.zeros(0, np.int32), linked, langs.dictionary.to_pylist())
 
 
-def bitmap(frequent: DataFrame, words: int):
-    """A broadcast bitmap of the phrases' hashes (of one or two words), 2 ** BITS bits whatever their number."""
+def _bitmap(slots: DataFrame):
+    """A broadcast bitmap of 2 ** BITS bits from (block, bit)."""
+    found = slots.groupBy("block").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")).toArrow()
+    table = np.zeros(1 << (BITS - 6), np.int64)
+    table[found["block"].to_numpy()] = found["bits"].to_numpy()
+    return slots.sparkSession.sparkContext.broadcast(table.view(U))
+
+
+def _slots(h: np.ndarray) -> pa.RecordBatch:
+    slot = np.unique(h >> U(64 - BITS)).astype(np.int64)
+    return pa.record_batch([pa.array(slot >> 6), pa.array((slot & 63).astype(np.int32))], names=["block", "bit"])
+
 
+def word_bitmap(frequent: DataFrame):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            yield _slots(read(batch).word_hashes())
+
+    return _bitmap(frequent.select("lang", F.col("phrase").alias("text")).mapInArrow(run, "block long, bit int"))
+
+
+def pair_bitmap(docs: DataFrame, known, total: int):
+    """The pairs that occur ``LEAST`` times, by hashes: a bucket of them, sized by the number of words, is counted at a time.
+
+    Hashes are sent as sorted arrays, a bucket's part of a few MB in one row: five bytes for each pair that differs within a flush.
+    """
+    high = max(4, (total // BUCKET).bit_length())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(waiting), return_counts=True)
+            times = (n - 1) // 255 + 1
+            keys, n = np.repeat(keys, times), np.minimum(np.repeat(n, times) - 255 * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)), 255)
+            bucket = (keys >> U(32)).astype(np.int64)
+            names, first, size = np.unique(bucket, return_index=True, return_counts=True)
+            low, n = keys.astype(np.uint32), n.astype(np.uint8)
+            waiting.clear()
+            return pa.record_batch([pa.array(names), pa.array([low[a : a + k].tobytes() for a, k in zip(first, size)], pa.binary()), pa.array([n[a : a + k].tobytes() for a, k in zip(first, size)], pa.binary())], names=["bucket", "keys", "counts"])
+
+        for batch in slices(batches, limit=2 << 20):
             text = read(batch)
-            h = text.word_hashes() if words == 1 else text.pair_hashes()[text.linked]
-            slot = np.unique(h >> U(64 - BITS)).astype(np.int64)
-            yield pa.record_batch([pa.array(slot >> 6), pa.array((slot & 63).astype(np.int32))], names=["block", "bit"])
+            held = _held(known.value, text.word_hashes())
+            waiting.append(text.pair_hashes()[text.linked & held & np.roll(held, -1)] >> U(32 - high))
+            if sum(map(len, waiting)) > BUCKET:
+                yield flush()
+        if waiting:
+            yield flush()
 
-    slots = frequent.select("lang", F.col("phrase").alias("text")).mapInArrow(run, "block long, bit int")
-    found = slots.groupBy("block").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")).toArrow()
-    table = np.zeros(1 << (BITS - 6), np.int64)
-    table[found["block"].to_numpy()] = found["bits"].to_numpy()
-    return frequent.sparkSession.sparkContext.broadcast(table.view(U))
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts = None, [], []
+
+        def close() -> pa.RecordBatch:
+            own, place = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(place, np.concatenate(counts))
+            return _slots(((U(now) << U(32)) | own[n >= LEAST].astype(U)) << U(32 - high))
+
+        for batch in batches:
+            for bucket, low, n in zip(batch["bucket"].to_pylist(), batch["keys"], batch["counts"]):
+                if bucket != now and keys:
+                    yield close()
+                    keys, counts = [], []
+                now = bucket
+                keys.append(np.frombuffer(low.as_buffer(), np.uint32))
+                counts.append(np.frombuffer(n.as_buffer(), np.uint8))
+        if keys:
+            yield close()
+
+    rows = docs.mapInArrow(pack, "bucket long, keys binary, counts binary").repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return _bitmap(rows.mapInArrow(often, "block long, bit int"))
 
 
 def _held(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -124,8 +181,7 @@ def _counts(docs: DataFrame, run) -> DataFrame:
         for batch in slices(batches, limit=2 << 20):
             yield run(read(batch))
 
-    rows = lean(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return rows.mapInArrow(every, COUNTED)
+    return docs.mapInArrow(every, COUNTED)
 
 
 def _words(text: Text) -> pa.RecordBatch:
@@ -138,7 +194,7 @@ def _words(text: Text) -> pa.RecordBatch:
 
 
 def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Supports of phrases of three words and more from sorted projections (lang, phrase with a last space, n)."""
+    """Supports of phrases of two words and more from sorted projections (lang, phrase with a last space, n)."""
     for batch in batches:
         size = batch.num_rows
         if not size:
@@ -164,7 +220,7 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = int(support[b] - support[a])
                 if words[a, depth] < 0 or (n < LEAST and a > 0 and b < size):
                     continue
-                if depth >= 3:
+                if depth >= 2:
                     found.append((a, depth, n))
                 if depth < LONGEST:
                     extend(a, b, depth + 1)
@@ -177,18 +233,11 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def supports(docs: DataFrame) -> DataFrame:
     """lang, phrase, n: all phrases of one to ``LONGEST`` words that occur at least ``LEAST`` times, and the empty phrase: all words."""
-    frequent = F.sum("n") >= LEAST
-    unigrams = _counts(docs, _words).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), frequent.alias("often"))
-    unigrams = cut(unigrams.filter(F.col("often") | (F.col("phrase") == "")).drop("often"))
-    known = bitmap(unigrams.filter("phrase <> ''"), 1)
-
-    def pairs(text: Text) -> pa.RecordBatch:
-        held = _held(known.value, text.word_hashes())
-        first = np.flatnonzero(text.linked & held & np.roll(held, -1))
-        return text.counted(first, first + 1)
-
-    bigrams = cut(_counts(docs, pairs).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST))
-    joined = bitmap(bigrams, 2)
+    docs = lean(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    unigrams = _counts(docs, _words).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    unigrams = cut(unigrams.filter((F.col("n") >= LEAST) | (F.col("phrase") == "")))
+    total = unigrams.filter("phrase = ''").agg(F.sum("n")).first()[0] or 0
+    joined = pair_bitmap(docs, word_bitmap(unigrams.filter("phrase <> ''")), total)
 
     def projected(text: Text) -> pa.RecordBatch:
         """From each frequent pair on, the words up to the first pair that is not frequent; the string keeps its last space, which holds prefixes together."""
@@ -197,14 +246,14 @@ def supports(docs: DataFrame) -> DataFrame:
         for k in range(LONGEST - 1):
             going = going & np.append(held[k:], np.zeros(min(k, len(held)), bool))
             reach += going
-        first = np.flatnonzero(reach >= 2)
+        first = np.flatnonzero(reach)
         kept = Text(text.data, text.start, text.end + 1, text.lang, text.linked, text.langs)
         return kept.counted(first, first + reach[first])
 
     spread = cut(_counts(docs, projected).groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
     sorted_ = spread.repartitionByRange(partitions(docs.sparkSession), "lang", "phrase").sortWithinPartitions("lang", "phrase")
     longer = sorted_.mapInArrow(_grown, COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-    return cut(unigrams.unionByName(bigrams).unionByName(longer))
+    return cut(unigrams.unionByName(longer))
 
 
 def _cuts(words: Column) -> Column:
@@ -240,9 +289,11 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     """Each language's first ``top``; a language's candidates are first ranked in shares, so that none need fit in one task."""
     found = scored(supports(docs))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    share = F.pmod(F.xxhash64("phrase"), F.lit(partitions(docs.sparkSession)))
-    first = found.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).filter(F.col("rank") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
+    every = partitions(docs.sparkSession)
+    ranked = found.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(every)))
+    for shares in (every, math.isqrt(every), 1):
+        window = Window.partitionBy("lang", F.col("share") % shares).orderBy(*order)
+        ranked = ranked.withColumn("rank", F.row_number().over(window).cast("long")).filter(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
