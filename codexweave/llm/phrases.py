@@ -117,8 +117,8 @@ def word_bitmap(frequent: DataFrame):
     return _bitmap(frequent.select("lang", F.col("phrase").alias("text")).mapInArrow(run, "block long, bit int"))
 
 
-def pair_bitmap(docs: DataFrame, known, total: int):
-    """The pairs that occur ``LEAST`` times, by hashes: a bucket of them, sized by the number of words, is counted at a time.
+def pair_bitmap(docs: DataFrame, known, total: int, least: int = LEAST):
+    """The pairs that occur ``least`` times, by hashes: a bucket of them, sized by the number of words, is counted at a time.
 
     Hashes are sent as sorted arrays, a bucket's part of a few MB in one row: five bytes for each pair that differs within a flush.
     """
@@ -152,7 +152,7 @@ def pair_bitmap(docs: DataFrame, known, total: int):
         def close() -> pa.RecordBatch:
             own, place = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(place, np.concatenate(counts))
-            return _slots(((U(now) << U(32)) | own[n >= LEAST].astype(U)) << U(32 - high))
+            return _slots(((U(now) << U(32)) | own[n >= least].astype(U)) << U(32 - high))
 
         for batch in batches:
             for bucket, low, n in zip(batch["bucket"].to_pylist(), batch["keys"], batch["counts"]):
@@ -193,51 +193,55 @@ def _words(text: Text) -> pa.RecordBatch:
     return pa.Table.from_batches([found, totals]).combine_chunks().to_batches()[0]
 
 
-def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Supports of phrases of two words and more from sorted projections (lang, phrase with a last space, n)."""
-    for batch in batches:
-        size = batch.num_rows
-        if not size:
-            continue
-        langs = batch["lang"].dictionary_encode()
-        lists = pc.split_pattern(batch["phrase"], " ")
-        parts = pc.list_flatten(lists).dictionary_encode()
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(size), counts)
-        column = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        words = np.full((size, LONGEST + 1), -1, np.int64)
-        inner = column < counts[row] - 1  # behind the last space there is no word
-        words[row[inner], column[inner] + 1] = parts.indices.to_numpy(zero_copy_only=False)[inner]
-        words[:, 0] = langs.indices.to_numpy(zero_copy_only=False)
-        support = np.concatenate([[0], np.cumsum(batch["n"].to_numpy())])
-        found: list[tuple[int, int, int]] = []
-
-        def extend(low: int, high: int, depth: int) -> None:
-            """Occurrences low:high share their language and ``depth - 1`` words."""
-            here = words[low:high, depth]
-            edges = [low, *(np.flatnonzero(here[1:] != here[:-1]) + low + 1).tolist(), high]
-            for a, b in zip(edges, edges[1:]):
-                n = int(support[b] - support[a])
-                if words[a, depth] < 0 or (n < LEAST and a > 0 and b < size):
-                    continue
-                if depth >= 2:
-                    found.append((a, depth, n))
-                if depth < LONGEST:
-                    extend(a, b, depth + 1)
-
-        extend(0, size, 0)
-        names = parts.dictionary.to_pylist()
-        phrases = [" ".join(names[w] for w in words[a, 1 : depth + 1]) for a, depth, _ in found]
-        yield pa.record_batch([batch["lang"].take(pa.array([a for a, _, _ in found], pa.int64())), pa.array(phrases, pa.string()), pa.array([n for *_, n in found], pa.int64())], names=["lang", "phrase", "n"])
-
-
-def supports(docs: DataFrame) -> DataFrame:
-    """lang, phrase, n: all phrases of one to ``LONGEST`` words that occur at least ``LEAST`` times, and the empty phrase: all words."""
+def _growth(least: int):
+    """A task over sorted projections (lang, phrase with a last space, n), which gives the supports of phrases of two words and more."""
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            langs = batch["lang"].dictionary_encode()
+            lists = pc.split_pattern(batch["phrase"], " ")
+            parts = pc.list_flatten(lists).dictionary_encode()
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(size), counts)
+            column = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            words = np.full((size, LONGEST + 1), -1, np.int64)
+            inner = column < counts[row] - 1  # behind the last space there is no word
+            words[row[inner], column[inner] + 1] = parts.indices.to_numpy(zero_copy_only=False)[inner]
+            words[:, 0] = langs.indices.to_numpy(zero_copy_only=False)
+            support = np.concatenate([[0], np.cumsum(batch["n"].to_numpy())])
+            found: list[tuple[int, int, int]] = []
+
+            def extend(low: int, high: int, depth: int) -> None:
+                """Occurrences low:high share their language and ``depth - 1`` words."""
+                here = words[low:high, depth]
+                edges = [low, *(np.flatnonzero(here[1:] != here[:-1]) + low + 1).tolist(), high]
+                for a, b in zip(edges, edges[1:]):
+                    n = int(support[b] - support[a])
+                    if words[a, depth] < 0 or (n < least and a > 0 and b < size):
+                        continue
+                    if depth >= 2:
+                        found.append((a, depth, n))
+                    if depth < LONGEST:
+                        extend(a, b, depth + 1)
+
+            extend(0, size, 0)
+            names = parts.dictionary.to_pylist()
+            phrases = [" ".join(names[w] for w in words[a, 1 : depth + 1]) for a, depth, _ in found]
+            yield pa.record_batch([batch["lang"].take(pa.array([a for a, _, _ in found], pa.int64())), pa.array(phrases, pa.string()), pa.array([n for *_, n in found], pa.int64())], names=["lang", "phrase", "n"])
+
+    return grown
+
+
+def supports(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """lang, phrase, n: all phrases of one to ``LONGEST`` words that occur at least ``least`` times, and the empty phrase: all words."""
     docs = lean(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     unigrams = _counts(docs, _words).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    unigrams = cut(unigrams.filter((F.col("n") >= LEAST) | (F.col("phrase") == "")))
+    unigrams = cut(unigrams.filter((F.col("n") >= least) | (F.col("phrase") == "")))
     total = unigrams.filter("phrase = ''").agg(F.sum("n")).first()[0] or 0
-    joined = pair_bitmap(docs, word_bitmap(unigrams.filter("phrase <> ''")), total)
+    joined = pair_bitmap(docs, word_bitmap(unigrams.filter("phrase <> ''")), total, least)
 
     def projected(text: Text) -> pa.RecordBatch:
         """From each frequent pair on, the words up to the first pair that is not frequent; the string keeps its last space, which holds prefixes together."""
@@ -252,7 +256,7 @@ def supports(docs: DataFrame) -> DataFrame:
 
     spread = cut(_counts(docs, projected).groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
     sorted_ = spread.repartitionByRange(partitions(docs.sparkSession), "lang", "phrase").sortWithinPartitions("lang", "phrase")
-    longer = sorted_.mapInArrow(_grown, COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    longer = sorted_.mapInArrow(_growth(least), COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return cut(unigrams.unionByName(longer))
 
 
@@ -285,9 +289,9 @@ def _few(totals: DataFrame, most: int = 10_000) -> bool:
     return totals.limit(most + 1).count() <= most
 
 
-def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:
     """Each language's first ``top``; a language's candidates are first ranked in shares, so that none need fit in one task."""
-    found = scored(supports(docs))
+    found = scored(supports(docs, least))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     every = partitions(docs.sparkSession)
     ranked = found.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(every)))
