@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, changes, reading, structure, works  # noqa: F401
+from . import catalogue, changes, editions, reading, structure, works  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 

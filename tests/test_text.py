@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from codexweave.functions import hashing as H
-from codexweave.functions import sentences as S
 from codexweave.functions import text as X
 
 
@@ -49,28 +48,3 @@ def test_hash_encoding(spark):
     assert h(H.optional(F.lit(None).cast("string"))) != h(H.optional(F.lit("")))
     assert h(F.concat(H.listed(F.array(F.lit("a"))), H.listed(F.array(F.lit("b"))))) != h(F.concat(H.listed(F.array(F.lit("a"), F.lit("b"))), H.listed(F.array().cast("array<string>"))))
     assert h(H.field(F.lit("a"))) == h(H.field(F.lit("a")))
-
-
-@pytest.mark.parametrize("text, language, parts", [
-    ("One. Two.", "en", ["One.", "Two."]),
-    ("Mr. Smith came. He left.", "en", ["Mr. Smith came.", "He left."]),
-    ("Siehe z. B. Kant. Dann weiter.", "de", ["Siehe z. B. Kant.", "Dann weiter."]),
-    ("A ship. Then a piano. Vol.", "en", ["A ship.", "Then a piano.", "Vol."]),
-    ("By J. Doe. Yes.", "en", ["By J. Doe.", "Yes."]),
-    ("1. First thing. Next.", "en", ["1. First thing.", "Next."]),
-    ("He said. — And then.", "en", ["He said.", "— And then."]),
-    ("", "en", []),
-])
-def test_sentences(text, language, parts):
-    assert S.split(text, language) == parts
-
-
-def test_native_splitters(spark):
-    assert value(spark, S.structural(F.lit("a. b? c"))) == ["a. ", "b? ", "c"] or value(spark, S.structural(F.lit("a. b? c"))) == ["a.", "b?", "c"]
-    assert value(spark, S.verses(F.lit("In the beginning. And so"))) == ["In the beginning.", "And so"]
-    assert value(spark, S.verses(F.lit("no end"))) == ["no end"]
-
-
-def test_html_cut():
-    assert S.cut_html("<i>One. Two.</i>", ["One.", "Two."]) == ["<i>One.</i>", "<i>Two.</i>"]
-    assert S.cut_html("One.<sup>1</sup> Two.", ["One.", "Two."]) == ["One.<sup>1</sup>", "Two."]
