@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sentences as S
 from ..operators import phrases as P
 from ..operators import ranges as A
-from ..sources import blocks, prose, tei
+from ..sources import blocks, ocr, prose, tei
 from .tables import query
 
 
@@ -124,3 +124,61 @@ def milestone_pages(t):
     closed = [df.filter(F.col(a) < F.col(b)).withColumn(b, F.col(b) - 1) for df, a, b in ((pages, "start", "stop"), (paragraphs, "p_start", "p_stop"))]
     touched = A.overlap_join(*closed, ["file"], ("start", "stop"), ("p_start", "p_stop"), 512)
     return touched.groupBy(F.col("file").alias("doc_id"), "label", "start", (F.col("stop") + 1).alias("stop")).agg(F.count("*").alias("n_paragraphs"))
+
+
+_LINES = "FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)"
+
+
+def _responses(t):
+    """Documents as recognised pages: each line a row 30 pixels below the last, later ones further right; indices are numbers or strings."""
+    lines = F.split("text", "\n")
+    ends = S._running(F.transform(lines, lambda x: F.char_length(x) + 1))
+    starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+
+    def line(a, b, i):
+        y = (i * 30).cast("double") / 2000
+        x = F.when(i % 7 == 3, 0.2).otherwise(0.1)
+        corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+        segment = F.struct(a.cast("string").alias("startIndex"), b.cast("string").alias("endIndex"))
+        box = F.struct(F.array(corner(0, 0), corner(0.25, 0.01)).alias("normalizedVertices"))
+        return F.struct(F.struct(F.struct(F.array(segment).alias("textSegments")).alias("textAnchor"), box.alias("boundingPoly")).alias("layout"))
+
+    pairs = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    page = F.struct(F.struct(F.lit(1000.0).alias("width"), F.lit(2000.0).alias("height")).alias("dimension"), F.transform(pairs, lambda p, i: line(p["a"], p["b"], i)).alias("lines"))
+    return t.documents.select(F.col("doc_id").alias("page"), F.to_json(F.struct("text", F.array(page).alias("pages"))).alias("response"))
+
+
+@query(f"""
+SELECT doc_id AS page, n, line AS text, CASE WHEN n % 7 = 3 THEN 200 ELSE 100 END AS x, n * 30 AS y {_LINES} WHERE trim(line) <> ''""")
+def ocr_response_lines(t):
+    found = ocr.lines(_responses(t))
+    return found.select("page", "n", "text", F.round("x").cast("int").alias("x"), F.round("y").cast("int").alias("y"))
+
+
+@query(f"""
+WITH l AS (SELECT *, CASE WHEN n % 7 = 3 THEN 200 ELSE 100 END AS x, n * 30 AS y {_LINES} WHERE trim(line) <> '' AND (n * 30 >= 220 OR doc_id <= 0)),
+s AS (SELECT *, y - lag(y) OVER (PARTITION BY doc_id ORDER BY y) AS gap FROM l),
+m AS (SELECT doc_id, median(gap) FILTER (gap > 0) AS mid, median(x) AS edge FROM s GROUP BY doc_id),
+g AS (SELECT s.*, sum(CASE WHEN mid IS NOT NULL AND gap IS NOT NULL AND (gap > 1.5 * mid OR x > edge + 30) THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id ORDER BY y) AS element FROM s JOIN m USING (doc_id))
+SELECT doc_id AS page, element::BIGINT AS element, string_agg(line, chr(10) ORDER BY y) AS text, count(*)::INT AS n_lines FROM g GROUP BY doc_id, element""")
+def ocr_page_elements(t):
+    """The paragraphs of recognised pages, by spacing and indentation; every page in body and header alone."""
+    found = ocr.zoned(ocr.lines(_responses(t)), height=1e9)
+    return ocr.elements(found).select("page", "element", "text", F.size("lines").alias("n_lines"))
+
+
+@query(r"""
+SELECT doc_id, regexp_replace(replace(replace(text, ', ', ' " '), '. ', '." '), '(„[^"]*")|"', '\1', 'g') AS text FROM (SELECT doc_id, replace(text, ' die ', ' „die ') AS text FROM documents)""")
+def ocr_cleaned(t):
+    marked = F.replace(F.replace(F.replace("text", F.lit(" die "), F.lit(" „die ")), F.lit(", "), F.lit(' " ')), F.lit(". "), F.lit('." '))
+    return t.documents.select("doc_id", ocr.cleaned(marked).alias("text"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, n, trim(line) || CASE WHEN n % 3 = 0 THEN '-' ELSE '' END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents))
+SELECT doc_id, CASE WHEN ends_with(whole, '- ') THEN left(whole, length(whole) - 1) ELSE rtrim(whole) END AS text
+FROM (SELECT doc_id, replace(string_agg(line, ' ' ORDER BY n) FILTER (line <> '') || ' ', '- ', chr(1)) AS w FROM l GROUP BY doc_id), LATERAL (SELECT CASE WHEN ends_with(w, chr(1)) THEN replace(left(w, length(w) - 1), chr(1), '') || '- ' ELSE replace(w, chr(1), '') END AS whole)""")
+def ocr_stitched(t):
+    """Lines of a page as one text; every third is torn by a hyphen."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(S.trimmed(x), F.when(i % 3 == 0, "-").otherwise("")))
+    return t.documents.select("doc_id", ocr.stitched(lines).alias("text"))
