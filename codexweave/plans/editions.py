@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sentences as S
 from ..operators import phrases as P
 from ..operators import ranges as A
-from ..sources import blocks, ocr, prose, tei
+from ..sources import blocks, epub, ocr, prose, sinks, tei
 from .tables import query
 
 
@@ -182,3 +182,70 @@ def ocr_stitched(t):
     """Lines of a page as one text; every third is torn by a hyphen."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(S.trimmed(x), F.when(i % 3 == 0, "-").otherwise("")))
     return t.documents.select("doc_id", ocr.stitched(lines).alias("text"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS line, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) - 1 AS n FROM documents),
+k AS (SELECT doc_id, n, trim(line) AS line, CASE WHEN n % 5 = 2 THEN 'head' WHEN n % 11 = 10 THEN 'latch' ELSE 'p' END AS kind FROM l),
+s AS (SELECT *, max(CASE WHEN kind = 'head' THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM k),
+f AS (SELECT *, coalesce(bool_or(kind = 'latch') OVER (PARTITION BY doc_id, section ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS noted FROM s WHERE section IS NOT NULL)
+SELECT doc_id, 's' || section AS id, row_number() OVER (PARTITION BY doc_id, section ORDER BY n) - 1 AS position, CASE WHEN kind = 'head' THEN 'heading' WHEN noted THEN 'footnote' ELSE 'paragraph' END AS kind, line AS text
+FROM f WHERE kind <> 'latch' AND NOT (noted AND kind = 'head')""")
+def epub_sections(t):
+    """Documents as members of a book, cut into sections where their headings stand; notes from their heading to the section's end."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+
+    def element(x, i):
+        safe = F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        head = F.concat(F.lit('<h2 id="s'), i.cast("string"), F.lit('">'), safe, F.lit("</h2>"))
+        return F.when(i % 5 == 2, head).when(i % 11 == 10, '<p class="fn">Fußnoten</p>').otherwise(F.concat(F.lit("<p>"), safe, F.lit("</p>")))
+
+    xml = F.concat(F.lit("<html><body>"), F.array_join(F.transform(lines, element), ""), F.lit("</body></html>"))
+    elements = epub.body_elements(tei.events(t.documents.select(F.col("doc_id").alias("file"), xml.alias("xml")))).withColumnRenamed("file", "doc_id")
+    heads = t.documents.select("doc_id", F.explode(F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: (i % 5 == 2) & (i < F.size(lines)))).alias("play_order"))
+    points = heads.withColumn("id", F.concat(F.lit("s"), F.col("play_order").cast("string"))).withColumn("fragment", F.col("id"))
+    return epub.sections(elements, points, ["doc_id"]).select("doc_id", "id", "position", "kind", "text")
+
+
+@query(r"""
+WITH b AS (SELECT source AS book, DATE '2024-01-01' + max(n_chars)::INT AS changed FROM documents GROUP BY source),
+r AS (
+  SELECT 'books/' || book || '.xml' AS file, -3 AS k, '<?xml version="1.0" encoding="UTF-8"?>' AS value FROM b
+  UNION ALL SELECT 'books/' || book || '.xml', -2, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' FROM b
+  UNION ALL SELECT 'books/' || book || '.xml', -1, '  <url><loc>https://example.org/books/' || book || '</loc><lastmod>' || changed || '</lastmod></url>' FROM b
+  UNION ALL SELECT 'books/' || source || '.xml', doc_id, '  <url><loc>https://example.org/books/' || source || '/d&lt;' || doc_id || '</loc><lastmod>' || (DATE '2024-01-01' + n_chars::INT) || '</lastmod></url>' FROM documents
+  UNION ALL SELECT 'books/' || book || '.xml', 1000000000000, '</urlset>' FROM b)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY k) - 1 AS n, value FROM r""")
+def sitemap_files(t):
+    """A sitemap a source with its documents, escaped and framed."""
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int"))
+    books = t.documents.groupBy(F.col("source").alias("book")).agg(day(F.max("n_chars")).alias("changed"))
+    nodes = t.documents.select(F.col("source").alias("book"), F.concat(F.lit("d<"), F.col("doc_id").cast("string")).alias("node"), F.col("doc_id").alias("sort_order"), day(F.col("n_chars")).alias("changed"))
+    return sinks.book_sitemaps(books, nodes, "https://example.org")
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations), r AS (
+  SELECT conv_id, 0 AS part, k, unnest(['---', 'position: ' || conv_id, 'label: "c' || conv_id || '"', 'depth: 1', 'page: ' || conv_id % 9, '---', '', '# c' || conv_id]) AS value, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8], 1) AS i FROM (SELECT DISTINCT conv_id, 0 AS k FROM c)
+  UNION ALL SELECT conv_id, 1, turn, unnest(['', CASE WHEN role = 'user' THEN '## ' ELSE '' END || CASE WHEN turn // 2 IS DISTINCT FROM before THEN '{{{ ' || turn // 2 || ' }}} ' ELSE '' END || text[1:length(text) // 2] || '{{ ' || turn || ' }} ' || text[length(text) // 2 + 1:]]), generate_subscripts([1, 2], 1)
+    FROM (SELECT *, lag(turn // 2) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM c WHERE role <> 'system' AND length(text) > 1)
+  UNION ALL SELECT conv_id, 2, turn, unnest(CASE WHEN first THEN ['', '[^' || turn || ']: ' || text] ELSE ['[^' || turn || ']: ' || text] END), generate_subscripts(CASE WHEN first THEN [1, 2] ELSE [1] END, 1) FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS first FROM c WHERE role = 'system'))
+SELECT lpad(conv_id::VARCHAR, greatest(3, length(conv_id::VARCHAR))::INT, '0') || '_c' || conv_id || '.md' AS file, row_number() OVER (PARTITION BY conv_id ORDER BY part, k, i) - 1 AS n, value FROM r""")
+def markdown_lines(t):
+    """Conversations as markdown files: turns are blocks with page marks, a system's turns notes."""
+    c = t.conversations
+    nodes = c.select(F.col("conv_id").alias("node")).distinct()
+    nodes = nodes.select("node", F.col("node").alias("position"), F.concat(F.lit("c"), F.col("node").cast("string")).alias("slug"), F.concat(F.lit("c"), F.col("node").cast("string")).alias("label"), F.lit(1).alias("depth"), (F.col("node") % 9).alias("page"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    anchors = F.array(F.struct(F.col("turn").cast("string").alias("ref"), half.alias("char_offset")))
+    blocks = c.filter("role <> 'system' AND length(text) > 1").select(F.col("conv_id").alias("node"), F.col("turn").alias("block"), F.when(F.col("role") == "user", "heading").otherwise("paragraph").alias("kind"), "text", F.floor(F.col("turn") / 2).alias("page"), anchors.alias("anchors"))
+    notes = c.filter("role = 'system'").select(F.col("conv_id").alias("node"), F.col("turn").alias("note"), F.col("turn").cast("string").alias("marker"), "text")
+    return sinks.markdown_lines(nodes, blocks, notes)
+
+
+@query(r"""
+SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n,
+  repeat('  ', (doc_id % 3)::INT) || '- ' || CASE WHEN doc_id % 2 = 0 THEN '[' || lang || '](' || lpad(doc_id::VARCHAR, greatest(3, length(doc_id::VARCHAR))::INT, '0') || '_' || lang || '.md)' ELSE lang END || ' — p. ' || n_chars AS value FROM documents""")
+def toc_lines(t):
+    entries = t.documents.select(F.col("source").alias("book"), F.col("doc_id").alias("position"), F.col("lang").alias("slug"), F.col("lang").alias("label"), (F.col("doc_id") % 3 + 1).cast("int").alias("depth"), F.col("n_chars").alias("page"), (F.col("doc_id") % 2 == 0).alias("has_file"))
+    return sinks.toc_lines(entries)

@@ -157,13 +157,10 @@ def write_editions(df: DataFrame, path: str, by: str = "book_id") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def sitemap(df: DataFrame, url: str, changed: str) -> DataFrame:
-    """One <url> line a row, for ``write.text``."""
-    return df.select(F.concat(F.lit("<url><loc>"), F.col(url), F.lit("</loc><lastmod>"), F.date_format(changed, "yyyy-MM-dd"), F.lit("</lastmod></url>")).alias("value"))
-
-
 def artefact_hash(spark: SparkSession, path: str) -> DataFrame:
-    """One digest of a folder: of its files' digests and names, in order of name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"))
+    """One digest of a folder: of its files' digests and names with their folders, in order of name; renaming a file changes it."""
+    base = re.escape(re.sub(r"^\w+:/*(?=/)", "", path).rstrip("/")) + "/"
+    name = F.regexp_replace("path", f"^.*?{base}", "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(name.alias("name"), F.sha2("content", 256).alias("h"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda x: F.concat(x["h"], F.lit("  "), x["name"], F.lit("\n")))
     return files.agg(F.substring(F.sha2(F.array_join(lines, ""), 256), 1, 12).alias("artefact"))
