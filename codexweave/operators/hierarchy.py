@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import staged
+
 
 def ancestors(df: DataFrame, path: str) -> DataFrame:
     """Each row once per ancestor-or-self path of an array column, as ``ancestor``: equi-joins then replace prefix tests."""
@@ -26,7 +28,7 @@ def _edges(edges: DataFrame, node: str, parent: str) -> DataFrame:
 
 def _doubled(jump: DataFrame) -> DataFrame:
     far = jump.select(F.col("_n").alias("_m"), F.col("_up").alias("_top"))
-    return jump.join(far, F.col("_up") == F.col("_m")).select("_n", F.col("_top").alias("_up")).checkpoint()
+    return staged(jump.join(far, F.col("_up") == F.col("_m")).select("_n", F.col("_top").alias("_up")))
 
 
 def _settled(jump: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def roots(edges: DataFrame, node: str, parent: str) -> DataFrame:
     An edge to an unknown node stops there at the last known one. A walk that meets a node again ends there: a node of a cycle is its own
     root, and what leads into a cycle has the node where it enters it.
     """
-    once = _edges(edges, node, parent).checkpoint()
+    once = staged(_edges(edges, node, parent))
     ends = _settled(once).select(F.col("_up").alias("_e")).distinct()
     jump = once.join(ends, F.col("_n") == F.col("_e"), "left").select("_n", F.when(F.col("_e").isNotNull(), F.col("_n")).otherwise(F.col("_up")).alias("_up"))
     moved = True
@@ -58,17 +60,17 @@ def roots(edges: DataFrame, node: str, parent: str) -> DataFrame:
 
 def cyclic(edges: DataFrame, node: str, parent: str) -> DataFrame:
     """The nodes from which following parents never ends, at any depth."""
-    once = _edges(edges, node, parent).checkpoint()
+    once = staged(_edges(edges, node, parent))
     looped = once.filter("_n <> _up").select(F.col("_n").alias("_c"))
     return _settled(once).join(looped, F.col("_up") == F.col("_c"), "left_semi").select(F.col("_n").alias(node))
 
 
 def _levels(df: DataFrame, node: str, parent: str) -> int:
     """How deep the trees are; raises if some rows hang on no root."""
-    level, n, rest = df.filter(F.col(parent).isNull()).select(node).checkpoint(), 0, df.count()
+    level, n, rest = staged(df.filter(F.col(parent).isNull()).select(node)), 0, df.count()
     while size := level.count():
         n, rest = n + 1, rest - size
-        level = df.join(level.select(F.col(node).alias("_p")), F.col(parent) == F.col("_p"), "left_semi").select(node).checkpoint()
+        level = staged(df.join(level.select(F.col(node).alias("_p")), F.col(parent) == F.col("_p"), "left_semi").select(node))
     if rest:
         raise ValueError(f"{rest} rows of the forest hang on no root")
     return n
@@ -85,6 +87,30 @@ def forest(df: DataFrame, node: str, parent: str, order: str) -> DataFrame:
     return built.filter(F.col(parent).isNull()).select(node, order, "children")
 
 
+def outline(df: DataFrame, node: str, parent: str, order: str) -> DataFrame:
+    """Trees of any depth as typed rows in reading order: adds ``root``, ``level``, ``place`` (from 0 in its tree, parents before children), ``children`` (in order) and ``path``.
+
+    A path is the (order, node) keys from the root down; arrays sort a parent before its children, so one sort lays out a tree. Paths
+    grow by doubling, so the joins grow with the depth's logarithm. A row whose parent is unknown is a root; cycles are an error.
+    """
+    known = df.select(F.col(node).alias("_p")).distinct()
+    key = F.struct(F.col(order).alias("order"), F.col(node).alias("node"))
+    walk = staged(df.join(known, F.col(parent) == F.col("_p"), "left").select(F.col(node).alias("_n"), F.col("_p").alias("_up"), F.array(key).alias("path")))
+    left = walk.filter("_up IS NOT NULL").count()
+    while left:
+        far = walk.select(F.col("_n").alias("_m"), F.col("_up").alias("_far"), F.col("path").alias("_above"))
+        joined = walk.join(far, F.col("_up") == F.col("_m"), "left")
+        walk = staged(joined.select("_n", F.col("_far").alias("_up"), F.when(F.col("_m").isNotNull(), F.concat("_above", "path")).otherwise(F.col("path")).alias("path")))
+        before, left = left, walk.filter("_up IS NOT NULL").count()
+        if left == before:
+            raise ValueError(f"{left} rows of the trees hang on a cycle")
+    told = walk.select("_n", "path", F.col("path")[0]["node"].alias("root"), F.size("path").alias("level"))
+    placed = told.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("path")) - 1)
+    lists = df.join(known, F.col(parent) == F.col("_p")).groupBy("_p").agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["node"]).alias("children"))
+    out = df.join(placed, F.col(node) == F.col("_n")).join(lists, F.col(node) == F.col("_p"), "left")
+    return out.withColumn("children", F.coalesce("children", F.array().cast(lists.schema["children"].dataType))).drop("_n", "_p")
+
+
 def paths(df: DataFrame, keys: list[str], order: list[str], depth: str, label: str) -> DataFrame:
     """Paths from a list coded by depth, as deep as it goes: the last label of each smaller depth before a row, closed by any shallower row."""
     levels = (df.agg(F.max(depth)).first()[0] or 0) + 1

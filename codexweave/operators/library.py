@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import staged
 from . import hierarchy as T
 
 
@@ -53,7 +54,7 @@ def library(sources: DataFrame, found: DataFrame, persons: DataFrame) -> DataFra
     others = F.when(by_author, F.transform(F.slice("authors", 2, 1 << 30), lambda p: p["name"]))
     named = F.when(~by_author & (F.size("editors") > 0), F.transform(editors, lambda p: p["name"]))
     card = F.struct(F.col("year").isNull().alias("undated"), "year", "title", "work", F.coalesce(others, F.array().cast("array<string>")).alias("co_authors"), named.alias("editors"), "versions")
-    placed = every.select("work", "parent", "title", card.alias("card"), lead.alias("lead")).checkpoint()
+    placed = staged(every.select("work", "parent", "title", card.alias("card"), lead.alias("lead")))
 
     kind = F.when(F.col("lead").isNull(), "self").otherwise("author")
     key = F.when(F.col("lead").isNull(), F.col("work")).otherwise(F.col("lead.person"))

@@ -1,90 +1,91 @@
-"""Alignment of two revisions, and what follows for the annotations attached to them."""
+"""Alignment of two revisions, and what follows for the annotations attached to them.
 
-from __future__ import annotations
+A unit is what is aligned as a whole, a paragraph say. Units of equal length are compared place by place; in others the equal ends are
+anchored by joins on the place from the front and from the back, and what lies between is one edit that must be told apart: only there, and
+only where it has three sentences at most, are texts gathered.
+"""
 
-from os.path import commonprefix
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from .lineage import staged
+
 SPLIT_OR_MERGE, SCRAMBLED = 0.90, 0.25
 
 
-def _normal(text: str) -> str:
-    return " ".join(text.split()).lower()
-
-
-def ratio(a: str, b: str) -> float:
-    """1 - edit distance / longer length of normalised texts; two empty texts are equal."""
-    a, b = _normal(a), _normal(b)
-    if a == b:
-        return 1.0
-    longer = max(len(a), len(b))
-    # Equal beginnings and ends add nothing to the distance.
-    head = len(commonprefix((a, b)))
-    a, b = a[head:], b[head:]
-    tail = len(commonprefix((a[::-1], b[::-1])))
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / longer
-
-
-def plan_unit(old: list[tuple[str, str]], new: list[str]) -> list[tuple]:
-    """Steps (action, old id, survivor, new place) that turn old sentences (id, text) into new ones; one 'conflict' step if that is ambiguous."""
-    if len(old) == len(new):
-        for (_, a), b in zip(old, new):
-            if _normal(a) != _normal(b) and ratio(a, b) < SCRAMBLED:
-                return [("conflict", None, None, None)]
-        return [("keep", i, i, k) for k, (i, _) in enumerate(old)]
-    head = 0
-    while head < min(len(old), len(new)) and _normal(old[head][1]) == _normal(new[head]):
-        head += 1
-    tail = 0
-    while tail < min(len(old), len(new)) - head and _normal(old[-1 - tail][1]) == _normal(new[-1 - tail]):
-        tail += 1
-    a, b = old[head : len(old) - tail], new[head : len(new) - tail]
-    if (len(a), len(b)) == (1, 2) and ratio(a[0][1], f"{b[0]} {b[1]}") >= SPLIT_OR_MERGE:
-        middle = [("keep", a[0][0], a[0][0], head), ("split", a[0][0], a[0][0], head + 1)]
-    elif (len(a), len(b)) == (2, 1) and ratio(f"{a[0][1]} {a[1][1]}", b[0]) >= SPLIT_OR_MERGE:
-        middle = [("keep", a[0][0], a[0][0], head), ("merge", a[1][0], a[0][0], head)]
-    elif (len(a), len(b)) == (0, 1):
-        middle = [("insert", None, None, head)]
-    elif (len(a), len(b)) == (1, 0):
-        middle = [("delete", a[0][0], None, None)]
-    else:
-        return [("conflict", None, None, None)]
-    kept = lambda rows, first: [("keep", i, i, first + k) for k, (i, _) in enumerate(rows)]
-    return [*kept(old[:head], 0), *middle, *kept(old[len(old) - tail :], len(new) - tail)]
-
-
-_PLAN = "unit string, action string, old_id string, survivor string, place int"
+def _sided(df: DataFrame, size: str) -> DataFrame:
+    """unit, k (place from 0), ``size``, id, text, norm."""
+    order = Window.partitionBy("unit").orderBy("place")
+    rows = df.withColumn("k", F.row_number().over(order) - 1).withColumn(size, F.count("*").over(Window.partitionBy("unit")).cast("int"))
+    return rows.select("unit", "k", size, *([F.col("id").cast("string").alias("id")] if "id" in df.columns else []), "text", X.normalise(F.col("text")).alias("norm"))
 
 
-def align(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A plan for each changed unit, from (unit, id, place, text) and (unit, place, text); equal units need none.
+def _changed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """unit, m, n: the numbers of sentences of units that differ in any text, those of one side only too."""
 
-    Units whose texts hash alike are left out before anything is gathered; a unit is one block's sentences, bounded by the page it is on.
-    """
+    def content(df: DataFrame, h: str, size: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("place", F.xxhash64("text").alias("t"), F.md5("text").alias("u"))))
+        return df.groupBy("unit").agg(F.sha2(F.to_json(F.transform(ordered, lambda x: F.struct(x["t"], x["u"]))), 256).alias(h), F.count("*").cast("int").alias(size))
 
-    def content(df: DataFrame) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct("place", "text")))
-        return df.groupBy("unit").agg(F.sha2(F.to_json(F.transform(ordered, lambda x: x["text"])), 256).alias("h"))
+    both = content(old, "h", "m").join(content(new, "g", "n"), "unit", "full")
+    return both.filter(~F.col("h").eqNullSafe(F.col("g"))).select("unit", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("n", F.lit(0)).alias("n"))
 
-    same = content(old).join(content(new).withColumnRenamed("h", "g"), "unit").filter("h = g").select("unit")
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("place"), right.sort_values("place")
-        steps = plan_unit(list(zip(left["id"], left["text"])), list(right["text"]))
-        return pd.DataFrame([(key[0], *s) for s in steps], columns=["unit", "action", "old_id", "survivor", "place"]).astype({"place": "Int32"})
+def align(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A plan for each changed unit, from (unit, id, place, text) and (unit, place, text): unit, action, old_id, survivor, place.
 
-    a = old.join(same, "unit", "left_anti").select(*[F.col(c).alias(c) for c in ("unit", "id", "place", "text")])
-    b = new.join(same, "unit", "left_anti").select(*[F.col(c).alias(c) for c in ("unit", "place", "text")])
-    return a.groupBy("unit").cogroup(b.groupBy("unit")).applyInPandas(run, _PLAN)
+    ``keep`` has the new place, ``split`` that of the second half, ``merge`` the survivor, ``insert`` and ``delete`` what they say; a unit whose change
+    cannot be told apart, or whose sentence at some place has hardly anything in common with the old one, has one ``conflict`` alone. Equal units need
+    none. Places are those in the unit's order; equal places of one unit are an error of the caller.
+    """
+    units = staged(_changed(old, new))
+    a = staged(_sided(old.join(units.select("unit"), "unit", "left_semi"), "m"))
+    b = staged(_sided(new.join(units.select("unit"), "unit", "left_semi"), "n"))
+    left, right = a.select("unit", "k", "m", "norm"), b.select("unit", "k", "n", F.col("norm").alias("other"))
+    front = left.join(right, ["unit", "k"])
+    back = left.withColumn("k", F.col("m") - 1 - F.col("k")).join(right.withColumn("k", F.col("n") - 1 - F.col("k")), ["unit", "k"])
+    same = F.col("norm") == F.col("other")
+    scrambled = ~same & (F.col("m") == F.col("n")) & (X.similar(F.col("norm"), F.col("other")) < SCRAMBLED)
+    heads = front.groupBy("unit").agg(F.min(F.when(~same, F.col("k"))).alias("head"), F.max(scrambled).alias("scrambled"))
+    tails = back.groupBy("unit").agg(F.min(F.when(~same, F.col("k"))).alias("tail"))
+    least = F.least("m", "n")
+    told = units.join(heads, "unit", "left").join(tails, "unit", "left").withColumn("head", F.coalesce("head", least))
+    told = told.withColumn("tail", F.least(F.coalesce("tail", least), least - F.col("head"))).withColumn("even", F.col("m") == F.col("n"))
+    told = told.withColumn("x", F.col("m") - F.col("head") - F.col("tail")).withColumn("y", F.col("n") - F.col("head") - F.col("tail"))
+    few = told.filter(~F.col("even") & (F.col("x") + F.col("y") == 3) & (F.col("x") > 0) & (F.col("y") > 0))
+
+    def middle(side: DataFrame, size: str, columns: list[str], name: str) -> DataFrame:
+        inside = (F.col("k") >= F.col("head")) & (F.col("k") < F.col(size) - F.col("tail"))
+        rows = side.drop(size).join(few, "unit").filter(inside)
+        return rows.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("k", *columns))).alias(name))
+
+    met = middle(a, "m", ["id", "norm"], "olds").join(middle(b, "n", ["norm"], "news"), "unit")
+    whole = [F.array_join(F.transform(c, lambda x: x["norm"]), " ") for c in ("olds", "news")]
+    near = met.filter(X.similar(*whole) >= SPLIT_OR_MERGE).select("unit", F.transform("olds", lambda x: x["id"]).alias("ids"))
+    told = told.join(near, "unit", "left")
+    clear = F.when(F.col("even"), ~F.coalesce("scrambled", F.lit(False))).otherwise(F.col("ids").isNotNull() | (F.col("x") + F.col("y") == 1))
+    told = staged(told.withColumn("clear", clear))
+
+    none = F.lit(None).cast("string")
+
+    def step(action: str, old_id: Column, survivor: Column, place: Column | None) -> Column:
+        return F.struct(F.lit(action).alias("action"), old_id.alias("old_id"), survivor.alias("survivor"), (F.lit(None) if place is None else place).cast("int").alias("place"))
+
+    kept = a.drop("m").join(told.filter("clear").drop("ids"), "unit")
+    kept = kept.filter(F.col("even") | (F.col("k") < F.col("head")) | (F.col("k") >= F.col("m") - F.col("tail")))
+    place = F.when(F.col("even") | (F.col("k") < F.col("head")), F.col("k")).otherwise(F.col("k") + F.col("n") - F.col("m"))
+    keeps = kept.select("unit", step("keep", F.col("id"), F.col("id"), place).alias("s"))
+    gone = a.drop("m").join(told.filter("clear AND NOT even AND x = 1 AND y = 0").drop("ids"), "unit").filter("k = head").select("unit", step("delete", F.col("id"), none, None).alias("s"))
+    first, second, head = F.get("ids", F.lit(0)), F.get("ids", F.lit(1)), F.col("head")
+    halves = F.array(step("keep", first, first, head), step("split", first, first, head + 1))
+    merged = F.array(step("keep", first, first, head), step("merge", second, first, head))
+    single = F.when(~F.col("clear"), F.array(step("conflict", none, none, None))).when(F.col("ids").isNotNull() & (F.col("x") == 1), halves).when(F.col("ids").isNotNull(), merged)
+    single = single.when(~F.col("even") & (F.col("x") == 0) & (F.col("y") == 1), F.array(step("insert", none, none, head)))
+    rest = told.withColumn("steps", single).filter("steps IS NOT NULL").select("unit", F.explode("steps").alias("s"))
+    return keeps.unionByName(gone).unionByName(rest).select("unit", "s.*")
 
 
 def repoint(anchors: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
@@ -110,12 +111,10 @@ def refused(plan: DataFrame, anchors: DataFrame, column: str) -> DataFrame:
 
 def not_additive(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Pre-flight: keys that went, or whose order among the kept ones changed."""
-    from pyspark.sql import Window
-
     removed = old.join(new.select(key), key, "left_anti").select(key, F.lit("removed").alias("reason"))
     kept = old.select(key, F.col(order).alias("_a")).join(new.select(key, F.col(order).alias("_b")), key)
     # Ranges of _a, each in a task; what lies before a range's first row is the last row of the range before it.
-    dealt = kept.repartitionByRange("_a").withColumn("_r", F.spark_partition_id()).checkpoint()
+    dealt = staged(kept.repartitionByRange("_a").withColumn("_r", F.spark_partition_id()))
     seams = dealt.groupBy("_r").agg(F.max_by("_b", "_a").alias("_last")).withColumn("_last", F.lag("_last").over(Window.orderBy("_r")))
     before = F.coalesce(F.lag("_b").over(Window.partitionBy("_r").orderBy("_a")), "_last")
     moved = dealt.join(F.broadcast(seams), "_r").withColumn("_m", before > F.col("_b")).filter("_m")

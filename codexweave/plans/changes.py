@@ -79,22 +79,39 @@ def _revisions(t):
     return old.drop("doc_id", "block"), new.drop("doc_id", "block").unionByName(tail)
 
 
-@query()
+
+_UNITS = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block FROM documents),
+p AS (SELECT doc_id, block, string_split(regexp_replace(line, '([.!?…]+\s+)', '\1' || chr(1), 'g'), chr(1)) AS parts FROM l WHERE trim(line) <> ''),
+q AS (SELECT doc_id, block, list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM p),
+u AS (SELECT 'd' || doc_id || '.b' || block AS unit, doc_id, block, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS k, len(parts) AS m FROM q)"""
+
+@query(_UNITS + """,
+n AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS a, lower(trim(regexp_replace(CASE WHEN k = 0 AND block = 0 AND doc_id % 4 = 0 THEN text || ' indeed' ELSE text END, '\\s+', ' ', 'g'))) AS b FROM u),
+e AS (SELECT unit, m, bool_or(a <> b AND 1 - levenshtein(a, b) / greatest(length(a), length(b)) < 0.25) AS bad FROM n WHERE doc_id % 4 = 0 AND block = 0 GROUP BY unit, m),
+t AS (SELECT DISTINCT u.unit, u.m FROM u JOIN (SELECT doc_id, max(block) AS block FROM u GROUP BY doc_id) x ON u.doc_id = x.doc_id AND u.block = x.block WHERE u.doc_id % 4 = 1)
+SELECT unit, 'keep' AS action, unit || '.s' || k AS old_id, unit || '.s' || k AS survivor, k::INT AS place FROM u WHERE unit IN (SELECT unit FROM t UNION ALL SELECT unit FROM e WHERE NOT bad)
+UNION ALL SELECT unit, 'conflict', NULL, NULL, NULL FROM e WHERE bad UNION ALL SELECT unit, 'insert', NULL, NULL, m::INT FROM t""")
 def align_plan(t):
     return C.align(*_revisions(t))
 
 
-@query()
+@query(_UNITS + " SELECT CASE WHEN k = 1 THEN unit || '.s0' ELSE unit || '.s' || k END AS anchor FROM u")
 def anchors_after_merge(t):
     old, _ = _revisions(t)
     plan = C.align(old, old.filter("place <> 1").unionByName(old.filter("place = 1").select("unit", "id", F.lit(0).alias("place"), "text")).groupBy("unit", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), " ").alias("text")))
     return C.repoint(old.select(F.col("id").alias("anchor")), plan, ["anchor"])
 
 
-@query("SELECT o_orderkey, reason FROM (SELECT o_orderkey, 'removed' AS reason FROM orders WHERE o_orderkey % 100 = 5)")
+@query("""
+WITH k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN o_orderkey - 1000 ELSE o_orderkey END AS b FROM orders WHERE o_orderkey % 100 <> 5)
+SELECT o_orderkey, 'removed' AS reason FROM orders WHERE o_orderkey % 100 = 5
+UNION ALL SELECT o_orderkey, 'moved' FROM (SELECT o_orderkey, b < lag(b) OVER (ORDER BY o_orderkey) AS m FROM k) WHERE m""")
 def not_additive_nodes(t):
+    """A second revision without some keys, and with others moved forward by 1000."""
     keys = t.orders.select("o_orderkey", F.col("o_orderkey").alias("n"))
-    return C.not_additive(keys, keys.filter("o_orderkey % 100 <> 5"), "o_orderkey", "n")
+    moved = F.when(F.col("o_orderkey") % 50 == 7, F.col("n") - 1000).otherwise(F.col("n"))
+    return C.not_additive(keys, keys.filter("o_orderkey % 100 <> 5").withColumn("n", moved), "o_orderkey", "n")
 
 
 @query()
@@ -107,17 +124,26 @@ def sentence_split_language(t):
     return t.documents.select("doc_id", F.posexplode(S.sentences(F.col("text"), F.col("lang"))).alias("position", "sentence"))
 
 
-@query()
+@query(r"""
+WITH m AS (SELECT item_id, regexp_replace(trim(text), '([.!?][”’"'')]*)\s+([“‘"''(]?\p{Lu})', '\1' || chr(1) || '\2', 'g') AS x FROM benchmark),
+s AS (SELECT item_id, list_filter(string_split(x, chr(1)), lambda x: x <> '') AS parts FROM m)
+SELECT item_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS position FROM s""")
 def verse_split(t):
     return t.benchmark.select("item_id", F.posexplode(S.verses(F.col("text"))).alias("position", "sentence"))
 
 
 @query("""
-SELECT doc_id, length(text) AS plain_length, length('{{{' || doc_id || '}}} ' || text || '{{p' || doc_id || '}}') AS marked_length, 0 AS first_offset, length(text) AS last_offset FROM documents""")
+WITH w AS (SELECT doc_id, text, instr(text, ', ') AS a, length(text) // 2 AS h FROM documents)
+SELECT doc_id, length(text) AS plain_length, CASE WHEN a > 0 THEN a + 1 ELSE h END AS first_offset, CASE WHEN a > 0 THEN greatest(h, a + 1) ELSE h END AS last_offset, CASE WHEN a > 0 THEN 2 ELSE 1 END AS n_markers FROM w""")
 def marker_offsets(t):
-    marked = F.concat(F.format_string("{{{%d}}} ", "doc_id"), F.col("text"), F.format_string("{{p%d}}", "doc_id"))
-    lifted = t.documents.select("doc_id", marked.alias("m")).select("doc_id", "m", markdown.markers(F.col("m")).alias("x"))
-    return lifted.select("doc_id", F.char_length("x.text").alias("plain_length"), F.char_length("m").alias("marked_length"), F.col("x.markers")[0]["char_offset"].alias("first_offset"), F.element_at("x.markers", -1)["char_offset"].alias("last_offset"))
+    """Marks behind the first comma and near the middle of texts, lifted out again."""
+    comma, half = F.instr("text", ", "), F.floor(F.char_length("text") / 2).cast("int")
+    middle = F.when(comma > 0, F.greatest(half, comma + 1)).otherwise(half)
+    head, tail = F.substring("text", F.lit(1), middle), F.substring("text", middle + 1, F.char_length("text"))
+    first = F.when(comma > 0, F.concat(F.substring(head, F.lit(1), comma + 1), F.format_string("{{{%d}}} ", "doc_id"), F.substring(head, comma + 2, F.char_length(head)))).otherwise(head)
+    marked = F.concat(first, F.format_string("{{p%d}} ", "doc_id"), tail)
+    lifted = t.documents.select("doc_id", markdown.markers(marked).alias("x"))
+    return lifted.select("doc_id", F.char_length("x.text").alias("plain_length"), F.col("x.markers")[0]["char_offset"].alias("first_offset"), F.element_at("x.markers", -1)["char_offset"].alias("last_offset"), F.size("x.markers").alias("n_markers"))
 
 
 @query("""

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sentences as S
+from ..operators import hierarchy as T
 from ..operators import phrases as P
 from ..operators import ranges as A
+from ..operators import resources as R
 from ..sources import blocks, epub, ocr, prose, sinks, tei
 from .tables import query
 
@@ -249,3 +251,62 @@ SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) -
 def toc_lines(t):
     entries = t.documents.select(F.col("source").alias("book"), F.col("doc_id").alias("position"), F.col("lang").alias("slug"), F.col("lang").alias("label"), (F.col("doc_id") % 3 + 1).cast("int").alias("depth"), F.col("n_chars").alias("page"), (F.col("doc_id") % 2 == 0).alias("has_file"))
     return sinks.toc_lines(entries)
+
+
+@query(r"""
+WITH RECURSIVE e AS (SELECT c_custkey AS node, c_nationkey AS rank, CASE WHEN c_custkey // 4 IN (SELECT c_custkey FROM customer) AND c_custkey > 0 THEN c_custkey // 4 END AS parent FROM customer),
+w AS (
+  SELECT node, node AS root, 1 AS level, [struct_pack(o := rank, n := node)] AS path FROM e WHERE parent IS NULL
+  UNION ALL SELECT e.node, root, level + 1, list_append(path, struct_pack(o := rank, n := e.node)) FROM e JOIN w ON e.parent = w.node)
+SELECT w.node, root, level, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS place, coalesce((SELECT string_agg(k.node, ',' ORDER BY rank, k.node) FROM e k WHERE k.parent = w.node), '') AS children FROM w""")
+def toc_outline(t):
+    """Trees of customers, four children each, laid out in reading order."""
+    rows = t.customer.select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("rank"), F.when(F.col("c_custkey") > 0, F.floor(F.col("c_custkey") / 4)).alias("parent"))
+    return T.outline(rows, "node", "parent", "rank").select("node", "root", "level", "place", F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children"))
+
+
+@query(r"""
+WITH s AS (SELECT o_orderkey % 10 AS book, 'body' AS kind, o_orderkey // 10 AS number, (o_orderkey % 10) // 5 AS work, CASE WHEN (o_orderkey // 10) % 7 <> 0 THEN (o_orderkey // 10) // 2 + (o_orderkey % 10) % 3 END AS ordinal FROM orders),
+r AS (SELECT l_orderkey AS resource, l_partkey % 10 AS book, 'body' AS kind, l_partkey // 10 AS first, CASE WHEN l_quantity > 25 THEN l_partkey // 10 + l_suppkey % 4 END AS last, CASE WHEN l_linestatus = 'O' THEN 'approved' ELSE 'pending' END AS status, l_suppkey AS submitted_by,
+  l_quantity > 40 AS featured, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey END AS year, CASE WHEN l_partkey % 2 = 0 THEN l_quantity END AS page FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity, l_shipdate, l_returnflag, l_linestatus) = 1) WHERE l_returnflag <> 'R'),
+q AS (SELECT s_suppkey AS request, s_suppkey % 10 AS book, 'body' AS kind, s_suppkey // 2 AS start, s_suppkey // 2 + 6 AS stop, s_suppkey AS viewer FROM supplier),
+own AS (SELECT request, resource, first, coalesce(last, first) AS last, NULL::VARCHAR AS origin FROM q JOIN r USING (book, kind) WHERE first <= stop AND coalesce(last, first) >= start AND (status = 'approved' OR (status = 'pending' AND submitted_by = viewer))),
+t AS (SELECT request, q.book, q.kind, work, min(ordinal) AS low, max(ordinal) AS high FROM q JOIN s ON s.book = q.book AND s.kind = q.kind AND number BETWEEN start AND stop WHERE ordinal IS NOT NULL GROUP BY ALL),
+p AS (
+  SELECT t.request, r.resource, t.book, t.kind, t.work, a.ordinal AS f, CASE WHEN r.last IS NULL THEN a.ordinal ELSE coalesce(b.ordinal, a.ordinal) END AS l, r.book::VARCHAR AS origin
+  FROM r JOIN s a ON a.book = r.book AND a.kind = r.kind AND a.number = r.first AND a.ordinal IS NOT NULL LEFT JOIN s b ON b.book = r.book AND b.kind = r.kind AND b.number = r.last
+  JOIN t ON t.work = a.work AND t.kind = r.kind WHERE r.status = 'approved' AND r.book <> t.book),
+pr AS (SELECT request, resource, (SELECT min(number) FROM s WHERE s.book = p.book AND s.kind = p.kind AND s.work = p.work AND s.ordinal BETWEEN f AND l) AS first,
+  (SELECT max(number) FROM s WHERE s.book = p.book AND s.kind = p.kind AND s.work = p.work AND s.ordinal BETWEEN f AND l) AS last, origin
+  FROM p JOIN t USING (request, work) WHERE f <= t.high AND l >= t.low)
+SELECT request, resource, first, last, origin, row_number() OVER (PARTITION BY request ORDER BY featured DESC, year DESC NULLS LAST, page NULLS LAST, resource) - 1 AS place
+FROM (SELECT * FROM own UNION ALL SELECT * FROM pr) JOIN (SELECT resource, featured, year, page FROM r) USING (resource)""")
+def projected_resources(t):
+    """Resources at requested places of ten editions of two works, their own and those of the other editions, in one order."""
+    key = F.col("o_orderkey")
+    number, book = F.floor(key / 10), key % 10
+    ordinal = F.when(number % 7 != 0, F.floor(number / 2) + book % 3)
+    sentences = t.orders.select(book.alias("book"), F.lit("body").alias("kind"), number.alias("number"), F.floor(book / 5).alias("work"), ordinal.alias("ordinal"))
+    first = F.floor(F.col("l_partkey") / 10)
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")).alias("m")).select("l_orderkey", "m.*")
+    resources = rows.select(
+        F.col("l_orderkey").alias("resource"), (F.col("l_partkey") % 10).alias("book"), F.lit("body").alias("kind"), first.alias("start"), F.when(F.col("l_quantity") > 25, first + F.col("l_suppkey") % 4).alias("stop"),
+        F.when(F.col("l_linestatus") == "O", "approved").otherwise("pending").alias("status"), F.col("l_suppkey").alias("submitted_by"), F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("archived_at"),
+    )
+    about = rows.select(F.col("l_orderkey").alias("resource"), (F.col("l_quantity") > 40).alias("featured"), F.when(F.col("l_suppkey") % 3 != 0, F.col("l_suppkey")).alias("year"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_quantity")).alias("page"))
+    supplier = F.col("s_suppkey")
+    start = F.floor(supplier / 2)
+    requests = t.supplier.select(supplier.alias("request"), (supplier % 10).alias("book"), F.lit("body").alias("kind"), start.alias("start"), (start + 6).alias("stop"), supplier.alias("viewer"))
+    return R.listed(requests, resources, sentences, about).select("request", "resource", "first", "last", "origin", "place")
+
+
+@query(r"""
+SELECT kind, id, title, snippet, created, row_number() OVER (PARTITION BY viewer ORDER BY created DESC, kind, id) - 1 AS place, viewer FROM (
+  SELECT 'book' AS kind, o_custkey AS viewer, o_orderkey AS id, NULL AS title, o_orderpriority AS snippet, o_orderdate::TIMESTAMP AS created FROM orders
+  UNION ALL SELECT 'article', user_id, event_id, event_type, NULL, ts FROM events WHERE event_type <> 'view')""")
+def unified_quotations(t):
+    """Two kinds of quotations of a viewer as one list, newest first."""
+    books = t.orders.select(F.lit("book").alias("kind"), F.col("o_custkey").alias("viewer"), F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("title"), F.col("o_orderpriority").alias("snippet"), F.col("o_orderdate").cast("timestamp_ntz").alias("created"))
+    articles = t.events.filter("event_type <> 'view'").select(F.lit("article").alias("kind"), F.col("user_id").alias("viewer"), F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.lit(None).cast("string").alias("snippet"), F.col("ts").cast("timestamp_ntz").alias("created"))
+    order = Window.partitionBy("viewer").orderBy(F.desc("created"), "kind", "id")
+    return books.unionByName(articles).withColumn("place", F.row_number().over(order) - 1)

@@ -87,9 +87,13 @@ def array_subquery_default(t):
 
 
 @query("""
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS margin_number FROM conversations WHERE role = 'user'""")
+SELECT o_custkey, o_orderkey, l_linenumber, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity) AS margin_number
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'""")
 def margin_note_numbers(t):
-    return N.renumber(t.conversations.filter("role = 'user'"), ["conv_id"], ["turn", "text"], "margin_number").select("conv_id", "turn", "margin_number")
+    """Notes numbered through a book by node, block, sentence, place and identity of what they hang on."""
+    notes = t.lineitem.filter("l_returnflag = 'R'").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    order = ["o_orderdate", "o_orderkey", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return N.renumber(notes, ["o_custkey"], order, "margin_number").select("o_custkey", "o_orderkey", "l_linenumber", "margin_number")
 
 
 @query("SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS verse_number FROM lineitem")
@@ -166,15 +170,6 @@ def _cycles(t):
     return t.part.select(k, F.when((k % 50).isin(3, 4), k + 1).when(k % 50 == 5, k - 2).when(k % 50 != 0, k - 1).alias("parent"))
 
 
-@query("""
-WITH g AS (SELECT s_nationkey AS top, s_suppkey, s_suppkey % 3 = 0 AS compiled FROM supplier)
-SELECT s_suppkey, CASE WHEN compiled THEN 'nation ' || top ELSE 'supplier ' || s_suppkey END AS card, count(*) OVER (PARTITION BY CASE WHEN compiled THEN 'nation ' || top ELSE 'supplier ' || s_suppkey END) AS versions FROM g""")
-def group_routing(t):
-    """Members of a compilation share its card, others have their own; a card counts its versions."""
-    card = F.when(F.col("s_suppkey") % 3 == 0, F.format_string("nation %d", "s_nationkey")).otherwise(F.format_string("supplier %d", "s_suppkey"))
-    return t.supplier.select("s_suppkey", card.alias("card")).withColumn("versions", F.count("*").over(Window.partitionBy("card")))
-
-
 @query("SELECT doc_id, strlen(s) AS n_bytes, s AS snippet FROM (SELECT doc_id, list_max(list_filter(range(1, 201), lambda i: strlen(text[1:i]) <= 200)) AS m, text FROM documents) , LATERAL (SELECT coalesce(text[1:m], '') AS s)")
 def byte_bounded_snippet(t):
     found = t.documents.select("doc_id", P.snippet(F.col("text"), 200).alias("snippet"))

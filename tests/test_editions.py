@@ -52,3 +52,16 @@ def test_corrections(spark, empty):
     df = spark.createDataFrame([] if empty else ops, "file string, number int, search string, replace string")
     got = {r["file"]: (r["text"], r["refused"]) for r in P.corrected(texts, df, "file", "text").collect()}
     assert got == {"f": ("one two two three", []) if empty else ("two two two 3 1", [2, 5]), "g": ("x", []), "h": (None, [])}
+
+
+def test_outline(spark):
+    from codexweave.operators import hierarchy as T
+
+    rows = [(1, None, 0), (2, 1, 5), (3, 1, 2), (4, 3, 9), (5, 3, 9), (6, 99, 0)] + [(k, k - 1, 0) for k in range(101, 160)] + [(100, None, 0)]
+    got = {r["n"]: r for r in T.outline(spark.createDataFrame(rows, "n int, p int, o int"), "n", "p", "o").collect()}
+    assert [n for n in sorted(got, key=lambda n: (got[n]["root"], got[n]["place"])) if got[n]["root"] in (1, 6)] == [1, 3, 4, 5, 2, 6]
+    assert got[1]["children"] == [3, 2] and got[3]["children"] == [4, 5] and got[6]["children"] == [] and got[4]["level"] == 3
+    assert got[159]["level"] == 60 and got[159]["root"] == 100 and got[159]["place"] == 59 and len(got[159]["path"]) == 60
+    with pytest.raises(ValueError, match="cycle"):
+        T.outline(spark.createDataFrame([(1, None, 0), (2, 3, 0), (3, 2, 0)], "n int, p int, o int"), "n", "p", "o")
+    assert T.outline(spark.createDataFrame([], "n int, p int, o int"), "n", "p", "o").count() == 0
