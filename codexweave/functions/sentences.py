@@ -39,6 +39,7 @@ INLINE = ["i", "b", "sup", "sub", "span", "em", "strong", "code", "a", "del"]
 
 RUN = "␞"
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BLOCK = 256
 
 
@@ -63,7 +64,7 @@ def bound(value: Column, use) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def each_match(text: Column, pattern: str, change) -> Column:
@@ -153,9 +154,10 @@ def structural_boundaries(text: Column) -> Column:
 
 
 def structural(text: Column) -> Column:
-    """Sentences by punctuation alone."""
-    cut = F.when(F.contains(text, F.lit("(")), pieces(text, structural_boundaries(text))).otherwise(_whole(text, F.lit(STRUCTURAL)))
-    return F.filter(F.transform(cut, trimmed), lambda s: s != "")
+    """Sentences by punctuation alone; texts without brackets are split in one go at the space behind punctuation."""
+    inner = F.filter(F.transform(pieces(text, structural_boundaries(text)), trimmed), lambda s: s != "")
+    plain = F.filter(F.split(trimmed(text), rf"(?={SPACE})(?<=[.!?…]){SPACE}++", -1), lambda s: s != "")
+    return F.when(F.contains(text, F.lit("(")), inner).otherwise(plain)
 
 
 def verses(text: Column) -> Column:

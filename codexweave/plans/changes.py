@@ -9,6 +9,7 @@ from ..functions import sentences as S
 from ..functions import text as X
 from ..operators import mutations as M
 from ..operators import reconcile as C
+from ..operators.lineage import staged
 from ..sources import formats, markdown
 from .tables import query
 
@@ -72,6 +73,7 @@ def _revisions(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block", "line")).filter("trim(line) <> ''")
     words = lines.select("doc_id", "block", F.posexplode(S.structural(F.col("line"))).alias("place", "text"))
     old = words.select(F.format_string("d%d.b%d", "doc_id", "block").alias("unit"), F.format_string("d%d.b%d.s%d", "doc_id", "block", "place").alias("id"), "place", "text", "doc_id", "block")
+    old = staged(old)
     edited = F.when((F.col("doc_id") % 4 == 0) & (F.col("block") == 0) & (F.col("place") == 0), F.concat("text", F.lit(" indeed"))).otherwise(F.col("text"))
     new = old.select("unit", "place", edited.alias("text"), "doc_id", "block")
     ends = new.filter("doc_id % 4 = 1").groupBy("doc_id").agg(F.max(F.struct("block", "place", "unit")).alias("end"))
