@@ -13,7 +13,8 @@ from codexweave.sources import formats, markdown
 
 
 @pytest.mark.parametrize("old, new, actions", [
-    (["a b", "c d"], ["a b", "c d"], ["keep", "keep"]),
+    (["a b", "c d"], ["a b", "c d"], []),
+    (["a b", "c d"], ["a  b", "C d"], ["keep", "keep"]),
     (["one two three"], ["one two tree"], ["keep"]),
     (["start", "one two three four"], ["start", "one two", "three four"], ["keep", "keep", "split"]),
     (["one two", "three four", "end"], ["one two three four", "end"], ["keep", "merge", "keep"]),
@@ -22,8 +23,10 @@ from codexweave.sources import formats, markdown
     (["abcdefgh"], ["zyxwvuts"], ["conflict"]),
     (["a", "b", "c"], ["x"], ["conflict"]),
 ])
-def test_align(old, new, actions):
-    assert [s[0] for s in C.plan_unit([(str(i), t) for i, t in enumerate(old)], new)] == actions
+def test_align(spark, old, new, actions):
+    left = spark.createDataFrame([("u", str(i), i, t) for i, t in enumerate(old)], "unit string, id string, place int, text string")
+    right = spark.createDataFrame([("u", i, t) for i, t in enumerate(new)], "unit string, place int, text string")
+    assert sorted(r["action"] for r in C.align(left, right).collect()) == sorted(actions)
 
 
 def test_anchors_follow(spark):
