@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sentences as S
 from ..operators import hierarchy as T
+from ..operators import passages as G
 from ..operators import phrases as P
 from ..operators import ranges as A
 from ..operators import resources as R
@@ -310,3 +311,53 @@ def unified_quotations(t):
     articles = t.events.filter("event_type <> 'view'").select(F.lit("article").alias("kind"), F.col("user_id").alias("viewer"), F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.lit(None).cast("string").alias("snippet"), F.col("ts").cast("timestamp_ntz").alias("created"))
     order = Window.partitionBy("viewer").orderBy(F.desc("created"), "kind", "id")
     return books.unionByName(articles).withColumn("place", F.row_number().over(order) - 1)
+
+
+@query(r"""
+WITH v AS (SELECT l_returnflag AS work, l_linestatus AS source_ref, l_partkey AS ref_value, min(l_orderkey * 100 + l_linenumber) AS f FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY ALL),
+n AS (SELECT work, source_ref, ref_value, row_number() OVER (PARTITION BY work ORDER BY f, source_ref, ref_value) AS o FROM v),
+k AS (SELECT DISTINCT l_returnflag AS work, l_linestatus AS source_ref, l_partkey AS ref_value, -1 AS o FROM lineitem WHERE l_partkey % 3 = 0)
+SELECT work, source_ref, ref_value, coalesce(n.o, k.o) AS ordinal FROM k FULL JOIN n USING (work, source_ref, ref_value)""")
+def canonical_minting(t):
+    """Passages of a leading edition numbered anew beside known ones."""
+    names = [F.col("l_returnflag").alias("work"), F.col("l_linestatus").alias("source_ref"), F.col("l_partkey").alias("ref_value")]
+    verses = t.lineitem.filter("l_suppkey % 2 = 0").select(*names, (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("number"))
+    known = t.lineitem.filter("l_partkey % 3 = 0").select(*names).distinct().withColumn("ordinal", F.lit(-1).cast("long"))
+    return G.minted(known, verses)
+
+
+@query(r"""
+WITH p AS (SELECT l_returnflag AS work, l_linestatus AS source_ref, l_partkey AS ref_value, min(l_orderkey) AS ordinal FROM lineitem GROUP BY ALL),
+a AS (SELECT p_partkey AS ref_value, CASE WHEN p_partkey % 10 = 3 THEN p_partkey + 1 END AS c FROM part WHERE p_partkey % 5 = 3),
+s AS (SELECT l_orderkey * 100 + l_linenumber AS sentence, l_suppkey % 4 AS book, l_returnflag AS work, l_linestatus AS source_ref, l_partkey AS ref_value, CASE WHEN l_quantity > 20 THEN l_orderkey END AS old FROM lineitem),
+r AS (SELECT s.*, a.ref_value IS NOT NULL AND book = 1 AS aligned, c FROM s LEFT JOIN a ON a.ref_value = s.ref_value AND book = 1),
+f AS (SELECT sentence, old, p.ordinal FROM r LEFT JOIN p ON p.work = r.work AND p.source_ref = (CASE WHEN aligned AND c IS NULL THEN NULL ELSE r.source_ref END) AND p.ref_value = CASE WHEN aligned THEN c ELSE r.ref_value END)
+SELECT sentence, ordinal FROM f WHERE old IS DISTINCT FROM ordinal""")
+def canonical_stamps(t):
+    """Sentences of four editions stamped with their passages, one edition by its table of alignments."""
+    names = [F.col("l_returnflag").alias("work"), F.col("l_linestatus").alias("source_ref"), F.col("l_partkey").alias("ref_value")]
+    passages = t.lineitem.groupBy(*names).agg(F.min("l_orderkey").alias("ordinal"))
+    sentences = t.lineitem.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("sentence"), (F.col("l_suppkey") % 4).alias("book"), *names, F.when(F.col("l_quantity") > 20, F.col("l_orderkey")).alias("ordinal"))
+    kept = F.col("p_partkey") % 10 == 3
+    refs = t.lineitem.select(F.col("l_linestatus").alias("source_ref")).distinct()
+    rows = t.part.filter("p_partkey % 5 = 3").select(F.lit(1).cast("long").alias("book"), F.col("p_partkey").alias("ref_value"), F.when(kept, F.col("p_partkey") + 1).alias("canonical_ref_value"))
+    alignments = rows.crossJoin(F.broadcast(refs)).withColumn("canonical_source_ref", F.when(F.col("canonical_ref_value").isNotNull(), F.col("source_ref")))  # two line states
+    return G.stamped(sentences, alignments, passages)
+
+
+@query(r"""
+WITH a AS (SELECT DISTINCT o_custkey AS article FROM orders WHERE o_orderstatus = 'F'),
+d AS (SELECT o_custkey AS article, 'b' || o_orderkey % 12 AS slug, o_orderkey % 40 AS first, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey % 40 + o_custkey % 30 END AS last FROM orders),
+b AS (SELECT n_nationkey AS book, 'b' || n_nationkey AS slug FROM nation WHERE n_nationkey < 10),
+s AS (SELECT p_partkey % 10 AS book, (p_partkey // 10) % 60 AS number, min(p_partkey) AS sentence FROM part GROUP BY ALL),
+f AS (SELECT DISTINCT article, d.book, s.sentence AS start, e.sentence AS stop FROM (SELECT * FROM d JOIN a USING (article) JOIN b USING (slug)) d JOIN s ON s.book = d.book AND s.number = d.first LEFT JOIN s e ON e.book = d.book AND e.number = d.last WHERE d.last IS NULL OR e.sentence IS NOT NULL)
+SELECT article, book, 'body' AS kind, start, stop FROM f UNION ALL SELECT c_custkey, c_nationkey, 'body', c_custkey, NULL FROM customer WHERE c_custkey NOT IN (SELECT article FROM a)""")
+def passage_references_resynced(t):
+    """References of saved articles taken from their directives anew, those of others kept."""
+    articles = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("article"))
+    first = F.col("o_orderkey") % 40
+    directives = t.orders.select(F.col("o_custkey").alias("article"), F.concat(F.lit("b"), (F.col("o_orderkey") % 12).cast("string")).alias("slug"), F.lit("body").alias("kind"), first.alias("first"), F.when(F.col("o_orderkey") % 2 == 1, first + F.col("o_custkey") % 30).alias("last"))
+    books = t.nation.filter("n_nationkey < 10").select(F.col("n_nationkey").cast("long").alias("book"), F.concat(F.lit("b"), F.col("n_nationkey").cast("string")).alias("slug"))
+    sentences = t.part.groupBy((F.col("p_partkey") % 10).alias("book"), F.lit("body").alias("kind"), (F.floor(F.col("p_partkey") / 10) % 60).alias("number")).agg(F.min("p_partkey").alias("sentence"))
+    old = t.customer.select(F.col("c_custkey").alias("article"), F.col("c_nationkey").cast("long").alias("book"), F.lit("body").alias("kind"), F.col("c_custkey").alias("start"), F.lit(None).cast("long").alias("stop"))
+    return G.resynced(old, articles, directives, books, sentences)

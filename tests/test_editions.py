@@ -65,3 +65,22 @@ def test_outline(spark):
     with pytest.raises(ValueError, match="cycle"):
         T.outline(spark.createDataFrame([(1, None, 0), (2, 3, 0), (3, 2, 0)], "n int, p int, o int"), "n", "p", "o")
     assert T.outline(spark.createDataFrame([], "n int, p int, o int"), "n", "p", "o").count() == 0
+
+
+def test_passages(spark):
+    from codexweave.operators import passages as G
+
+    key = "work string, source_ref string, ref_value string"
+    known = spark.createDataFrame([("w", "a", "1", 9), ("w", "z", "1", 4)], f"{key}, ordinal long")
+    verses = spark.createDataFrame([("w", "a", "2", 7), ("w", "a", "1", 3), ("w", "a", "2", 5), ("v", "a", "1", 8)], f"{key}, number int")
+    minted = G.minted(known, verses)
+    assert sorted(tuple(r) for r in minted.collect()) == [("v", "a", "1", 1), ("w", "a", "1", 1), ("w", "a", "2", 2), ("w", "z", "1", 4)]
+    sentences = spark.createDataFrame([(1, "k", "w", "a", "1", 1), (2, "k", "w", "a", "2", None), (3, "m", "w", "a", "1", 1), (4, "m", "w", "a", "2", 2), (5, "k", None, "a", "1", None)], f"sentence int, book string, {key}, ordinal long")
+    aligned = spark.createDataFrame([("m", "a", "1", "a", "2"), ("m", "a", "2", None, None)], "book string, source_ref string, ref_value string, canonical_source_ref string, canonical_ref_value string")
+    assert sorted(tuple(r) for r in G.stamped(sentences, aligned, minted).collect()) == [(2, 2), (3, 2), (4, None)]
+    old = spark.createDataFrame([("x", 1, "body", 10, None), ("y", 1, "body", 11, 12)], "article string, book int, kind string, start int, stop int")
+    saved = spark.createDataFrame([("x",), ("x",), ("new",)], "article string")
+    directives = spark.createDataFrame([("x", "one", "body", 1, 2), ("x", "one", "body", 1, 2), ("x", "one", "body", 1, 99), ("x", "gone", "body", 1, None), ("new", "one", "body", 2, None), ("y", "one", "body", 1, None)], "article string, slug string, kind string, first int, last int")
+    books = spark.createDataFrame([("one", 1)], "slug string, book int")
+    places = spark.createDataFrame([(101, 1, "body", 1), (102, 1, "body", 2)], "sentence int, book int, kind string, number int")
+    assert sorted(map(str, G.resynced(old, saved, directives, books, places).collect())) == sorted(map(str, [*old.filter("article = 'y'").collect(), *spark.createDataFrame([("x", 1, "body", 101, 102), ("new", 1, "body", 102, None)], old.schema).collect()]))
