@@ -129,6 +129,31 @@ def test_lines(spark):
     assert lines.dedup(frame(spark, [])).count() == 0
 
 
+def direct_links(df) -> set:
+    pairs = lines.candidates(lines.blocks(lines.distinct_lines(lines.occurrences(df))))
+    found = lines.fetched(df, pairs.select(F.explode(F.array("u", "v")).alias("id")))
+    return {tuple(sorted((r["u"]["doc_id"], r["v"]["doc_id"]))) for r in lines.links(pairs, found).collect()}
+
+
+def test_edits_scattered_through_lines(spark):
+    """A line and its copy with one letter, 5 % or 9 % of letters changed anywhere: nine pairs in ten at least are linked in each cell; nothing else is."""
+    rng, docs, cells = random.Random(21), [], {}
+    for words in (5, 8, 10, 12, 20, 24, 30, 40, 60, 80, 150):
+        for share in (0, 0.05, 0.09):
+            for _ in range(40):
+                base = prose(words)
+                letters = [i for i, c in enumerate(base) if c != " "]
+                new = list(base)
+                for i in rng.sample(letters, max(1, int(share * len(letters)))):
+                    new[i] = rng.choice([c for c in "abcdefghijklmnopqrstuvwxyz" if c != base[i]])
+                cells.setdefault((words, share), []).append((len(docs), len(docs) + 1))
+                docs += [(len(docs), base), (len(docs) + 1, "".join(new))]
+    linked = direct_links(frame(spark, docs).coalesce(1))
+    assert linked <= {p for c in cells.values() for p in c}
+    found = {c: sum(p in linked for p in ps) for c, ps in cells.items()}
+    assert all(n >= 36 for n in found.values()), found
+
+
 def test_fuzzy_lines(spark):
     """Of all pairs within the edit similarity, nine in ten are linked at each length; nothing else is. No SimHash or segment is used here."""
     rng = random.Random(8)
@@ -163,11 +188,7 @@ def test_fuzzy_lines(spark):
                     pairs[i, k] = words
                     brute.join(parent, i, k)
     df = frame(spark, list(docs.items())).coalesce(1)
-    members = lines.blocks(lines.occurrences(df).groupBy("a", "b").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.min("segments").alias("segments")))
-    found = lines.fetched(df, members)
-    placed = members.join(found.drop("line"), "id")
-    none = spark.createDataFrame([], placed.select(F.col("id").alias("node"), F.col("id").alias("component")).schema)
-    linked = {tuple(sorted((r["u"]["doc_id"], r["v"]["doc_id"]))) for r in lines.others(placed, found, none).collect()}
+    linked = direct_links(df)
     assert linked <= set(pairs)
     share = {n: (sum(p in linked for p, m in pairs.items() if m == n), sum(m == n for m in pairs.values())) for n in set(pairs.values())}
     assert all(a >= 0.9 * b and b > 20 for a, b in share.values()), share
