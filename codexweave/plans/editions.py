@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sentences as S
 from ..operators import hierarchy as T
+from ..operators import nodepages as N
 from ..operators import passages as G
 from ..operators import phrases as P
 from ..operators import ranges as A
@@ -361,3 +362,63 @@ def passage_references_resynced(t):
     sentences = t.part.groupBy((F.col("p_partkey") % 10).alias("book"), F.lit("body").alias("kind"), (F.floor(F.col("p_partkey") / 10) % 60).alias("number")).agg(F.min("p_partkey").alias("sentence"))
     old = t.customer.select(F.col("c_custkey").alias("article"), F.col("c_nationkey").cast("long").alias("book"), F.lit("body").alias("kind"), F.col("c_custkey").alias("start"), F.lit(None).cast("long").alias("stop"))
     return G.resynced(old, articles, directives, books, sentences)
+
+
+_NODE = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS b FROM documents),
+u AS (SELECT doc_id, b, unnest(string_split(line, ', ')) AS text, generate_subscripts(string_split(line, ', '), 1) - 1 AS p FROM l),
+s AS (SELECT *, ascii(text) % 5 AS class, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) AS number FROM u),
+h AS (SELECT doc_id, b, p, class, number, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS k FROM s WHERE class IN (0, 1)),
+g AS (SELECT doc_id, b, p, class, [{'number': number, 'sentences': list({'position': k, 'text': word, 'original_text': NULL::VARCHAR} ORDER BY k)}] AS notes FROM h GROUP BY doc_id, b, p, class, number),
+"""
+
+
+def _held(t):
+    """Documents as nodes: lines are blocks, their clauses sentences; a clause's first letter says whether it has a footnote, a margin note or a page mark."""
+    lines = t.documents.select(F.col("doc_id").alias("node"), F.posexplode(F.split("text", "\n")).alias("position", "line")).withColumn("block", F.concat_ws(":", "node", "position"))
+    parts = lines.select("node", "block", F.col("position").alias("b"), F.posexplode(F.split("line", ", ")).alias("position", "text"))
+    each = parts.select(
+        "block", F.concat_ws(":", "block", "position").alias("sentence"), "position", "text", F.reverse("text").alias("original_text"), (F.ascii("text") % 5).alias("class"),
+        F.row_number().over(Window.partitionBy("node").orderBy("b", "position")).cast("long").alias("number"),
+    )
+
+    def notes(kind):
+        mine = each.filter(F.col("class") == kind).select("sentence", F.col("sentence").alias("note"), "number", "text")
+        bodies = mine.select("note", F.posexplode(F.split("text", " ")).alias("position", "text")).withColumn("original_text", F.col("text"))
+        return mine.drop("text"), bodies
+
+    blocks = lines.select("node", "block", "position", F.when(F.col("position") % 4 == 1, F.col("position")).alias("figure_number"))
+    markers = each.filter("class = 2").select("sentence", F.col("number").alias("sort_order"), F.lit("aa").alias("system"))
+    return N.contents(blocks, each.drop("class", "number"), markers, {"footnotes": notes(0), "margin_notes": notes(1)})
+
+
+@query(_NODE + """
+m AS (SELECT s.doc_id, s.b, list({'position': s.p, 'sentence': s.doc_id || ':' || s.b || ':' || s.p, 'text': s.text, 'original_text': NULL::VARCHAR, 'markers': CASE WHEN s.class = 2 THEN [{'sort_order': number, 'system': 'aa'}] ELSE [] END,
+  'footnotes': CASE WHEN s.class = 0 THEN g.notes ELSE [] END, 'margin_notes': CASE WHEN s.class = 1 THEN g.notes ELSE [] END, 'figure_number': CASE WHEN s.b % 4 = 1 THEN s.b END} ORDER BY s.p) AS sentences
+  FROM s LEFT JOIN g ON g.doc_id = s.doc_id AND g.b = s.b AND g.p = s.p GROUP BY ALL)
+SELECT doc_id AS node, md5(CAST(to_json(list({'position': b, 'block': doc_id || ':' || b, 'figure_number': CASE WHEN b % 4 = 1 THEN b END, 'sentences': sentences} ORDER BY b)) AS VARCHAR)) AS page FROM m GROUP BY doc_id""")
+def node_contents(t):
+    """The digest of each document's nested content as JSON: blocks, sentences, marks, footnotes and margin notes."""
+    note = "transform({0}, n -> named_struct('number', n.number, 'sentences', n.sentences))"
+    bare = "transform(sentences, s -> named_struct('position', s.position, 'sentence', s.sentence, 'text', s.text, 'original_text', s.original_text, 'markers', s.markers, 'footnotes', {}, 'margin_notes', {}, 'figure_number', s.figure_number))"
+    bare = bare.format(note.format("s.footnotes"), note.format("s.margin_notes"))
+    shape = F.expr(f"transform(blocks, b -> named_struct('position', b.position, 'block', b.block, 'figure_number', b.figure_number, 'sentences', {bare.replace('(sentences,', '(b.sentences,')}))")
+    return _held(t).select("node", F.md5(F.to_json(shape, {"ignoreNullFields": "false"})).alias("page"))
+
+
+@query("""
+WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY source) AS n, first_value(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS low FROM documents),
+r AS (SELECT doc_id AS request, source, n, CASE WHEN doc_id % 2 = 0 THEN greatest(place - 3, 1) ELSE place + 1 END AS first, CASE WHEN doc_id % 2 = 0 THEN place - 1 ELSE least(place + 3, n) END AS last FROM n),
+c AS (SELECT doc_id, sum(length(text) - length(replace(text, chr(10), '')) + 1) AS blocks FROM documents GROUP BY doc_id)
+SELECT request, coalesce(first <= last AND last < r.n, false) AS has_more, CASE WHEN first > last THEN false WHEN request % 2 = 0 THEN first > 1 ELSE min(m.doc_id) > 0 END AS has_previous, coalesce(list(m.doc_id ORDER BY m.doc_id) FILTER (m.doc_id IS NOT NULL), []) AS nodes, coalesce(sum(c.blocks), 0)::BIGINT AS n_blocks
+FROM r LEFT JOIN n m ON m.source = r.source AND m.place BETWEEN r.first AND r.last LEFT JOIN c ON c.doc_id = m.doc_id GROUP BY request, first, last, r.n""")
+def node_pages(t):
+    """Pages of three nodes around every document, forwards behind odd ones and backwards before even ones, with whole contents."""
+    odd = F.col("doc_id") % 2 == 1
+    requests = t.documents.select(F.col("doc_id").alias("request"), F.col("source").alias("book"), F.when(odd, F.col("doc_id")).alias("after"), F.when(~odd, F.col("doc_id")).alias("before"), F.lit(3).alias("size"))
+    nodes = t.documents.select(F.col("source").alias("book"), F.col("doc_id").alias("node"), F.col("doc_id").alias("sort_order"))
+    lines = t.documents.select(F.col("doc_id").alias("node"), F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    held = N.with_children(lines.select("node").distinct(), "node", lines, "blocks", "position")
+    found = N.pages(requests, nodes, held)
+    count = F.aggregate("nodes", F.lit(0).cast("long"), lambda a, x: a + F.size(x["blocks"]))
+    return found.select("request", "has_more", "has_previous", F.transform("nodes", lambda x: x["node"]).alias("nodes"), count.alias("n_blocks"))
