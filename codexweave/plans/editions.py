@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sentences as S
+from ..operators import corpora as C
 from ..operators import hierarchy as T
 from ..operators import nodepages as N
 from ..operators import passages as G
@@ -422,3 +423,20 @@ def node_pages(t):
     found = N.pages(requests, nodes, held)
     count = F.aggregate("nodes", F.lit(0).cast("long"), lambda a, x: a + F.size(x["blocks"]))
     return found.select("request", "has_more", "has_previous", F.transform("nodes", lambda x: x["node"]).alias("nodes"), count.alias("n_blocks"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS corpus, row_number() OVER (PARTITION BY coalesce(lang, 'und') ORDER BY doc_id) - 1 AS i, string_split(text, chr(10))[1] AS label FROM documents),
+p AS (SELECT doc_id, CASE corpus WHEN 'de' THEN (SELECT list_reduce([i + 1, 3, 4, 9], lambda a, g: a + CASE WHEN a >= g THEN 1 ELSE 0 END)) ELSE i + 1 END AS place,
+  trim(regexp_replace(translate(CASE corpus WHEN 'en' THEN replace(label, '&', ' and') WHEN 'de' THEN replace(replace(replace(replace(replace(replace(replace(label, 'ä', 'ae'), 'Ä', 'ae'), 'ö', 'oe'), 'Ö', 'oe'), 'ü', 'ue'), 'Ü', 'ue'), 'ß', 'ss')
+  ELSE replace(label, 'ſ', 's') END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM d)
+SELECT doc_id, place AS sort_order, lpad(place::VARCHAR, greatest(length(place::VARCHAR), 3)::INTEGER, '0') AS source_ref, replace(slug, '_', '-') AS slug, lpad(place::VARCHAR, greatest(length(place::VARCHAR), 3)::INTEGER, '0') || '_' || slug || '.md' AS filename FROM p""")
+def corpus_file_names(t):
+    """Documents as files of their language's corpus, each corpus with its rules for places and slugs."""
+    corpus = F.coalesce("lang", F.lit("und"))
+    order = Window.partitionBy("corpus").orderBy("doc_id")
+    files = t.documents.select("doc_id", corpus.alias("corpus"), F.get(F.split("text", "\n"), F.lit(0)).alias("label")).withColumn("file_index", F.row_number().over(order) - 1)
+    rest = C.Rules(C.file_slug(C.LONG_S), C.places_without([]))
+    own = {"de": C.Rules(C.file_slug(C.GERMAN), C.places_without([3, 4, 9])), "en": C.Rules(C.file_slug(C.AMPERSAND), C.places_without([]))}
+    known = files.withColumn("corpus", F.when(F.col("corpus").isin(*own), F.col("corpus")).otherwise("other"))
+    return C.named(known, own | {"other": rest}).select("doc_id", "sort_order", "source_ref", "slug", "filename")
