@@ -250,5 +250,10 @@ def paired(text: Column, html: Column, positions: Column) -> Column:
 
 def split_html(text: Column, html: Column, language: Column, extra: Column | None = None, colon: bool = False) -> Column:
     """Sentences of a block in both layers, by punctuation and at the ``extra`` offsets."""
-    found = boundaries(text, language, colon)
-    return paired(text, html, found if extra is None else F.array_sort(F.array_distinct(F.concat(found, extra))))
+    given = [text.alias("text"), html.alias("html"), *([] if extra is None else [extra.alias("extra")])]
+
+    def layers(x: Column) -> Column:
+        found = boundaries(x["text"], language, colon)
+        return paired(x["text"], x["html"], found if extra is None else F.array_sort(F.array_distinct(F.concat(found, x["extra"]))))
+
+    return bound(F.struct(*given), layers)

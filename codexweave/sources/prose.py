@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sentences as S
 from ..functions import text as X
+from ..operators.lineage import staged
 from .blocks import blocks
 
 _TOKEN = r"\{\{\$m\s+`[^`]*`\}\}"
@@ -40,6 +41,10 @@ def md_to_html(text: Column) -> Column:
 
 def lift(text: Column) -> Column:
     """struct(text, markers): marks out of a rendered text, each with one space behind it; offsets in what is left."""
+    return S.bound(text, _lifted)
+
+
+def _lifted(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(_MARK), F.lit(0))
     items = F.zip_with(F.slice(F.split(text, _MARK, -1), F.lit(1), F.size(found)), found, lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("m")))
 
@@ -62,18 +67,20 @@ def _n_tokens(text: Column) -> Column:
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """Blocks of (book, file, language, body) with ``block`` (place without footnotes), ``number`` among the book's blocks of its kind, and ``margin_base``: margin notes before."""
-    every = blocks(files)
+    """Blocks of (book, file, language, body) with ``block`` (place without footnotes), ``number`` among the book's blocks of its kind, ``margin_base``: margin notes before, and ``numbers`` of its file's footnotes by marker."""
+    every = staged(blocks(files))
     book = Window.partitionBy("book").orderBy("file", "position")
     body = F.col("kind") != "footnote"
-    keys = every.select("book", "file", "position", "kind", F.when(F.col("kind").isin("paragraph", "heading"), _n_tokens(F.col("text"))).otherwise(0).alias("tokens"))
+    keys = every.select("book", "file", "position", "kind", "marker", F.when(F.col("kind").isin("paragraph", "heading"), _n_tokens(F.col("text"))).otherwise(0).alias("tokens"))
     placed = keys.select(
-        "book", "file", "position",
+        "book", "file", "position", "kind", "marker",
         F.when(body, F.sum(body.cast("int")).over(Window.partitionBy("book", "file").orderBy("position")) - 1).alias("block"),
         F.row_number().over(Window.partitionBy("book", "kind").orderBy("file", "position")).alias("number"),
         (F.sum("tokens").over(book) - F.col("tokens")).cast("int").alias("margin_base"),
     )
-    return every.join(placed, ["book", "file", "position"])
+    notes = placed.filter("kind = 'footnote'").groupBy("book", "file").agg(F.map_from_entries(F.collect_list(F.struct("marker", "number"))).alias("numbers"))
+    # Joined by key first, so that texts are moved once.
+    return every.join(placed.drop("kind", "marker").join(notes, ["book", "file"], "left"), ["book", "file", "position"])
 
 
 def _margin(text: Column, base: Column) -> Column:
@@ -127,15 +134,14 @@ def sentences(files: DataFrame, label: str = "Figure") -> DataFrame:
     (kind, value, sort_order, char_offset); ``footnotes`` the numbers it refers to; ``margin_notes`` (number, sentences).
     """
     every = numbered(files)
-    notes = every.filter("kind = 'footnote'").select("book", "file", "marker", "number")
-    numbers = notes.groupBy("book", "file").agg(F.map_from_entries(F.collect_list(F.struct("marker", "number"))).alias("numbers"))
-    rows = every.filter("kind <> 'footnote'").join(numbers, ["book", "file"], "left")
+    rows = every.filter("kind <> 'footnote'")
     prose = rows.filter(F.col("kind").isin("heading", "paragraph"))
     tokens = F.transform(F.regexp_extract_all("text", F.lit(r"\{\{\$m\s+`([^`]*)`\}\}"), F.lit(1)), lambda t, i: F.struct((F.col("margin_base") + i + 1).alias("number"), _split(F.trim(t), F.col("language")).alias("sentences")))
-    prose = prose.withColumn("tokens", tokens).withColumn("md", _resolved(_margin(F.col("text"), F.col("margin_base")), F.coalesce("numbers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")))))
-    prose = prose.withColumn("plain", lift(md_to_plain(F.col("md")))).withColumn("cut", S.forced(F.col("plain.text")))
-    prose = prose.withColumn("html", F.replace(lift(md_to_html(F.col("md")))["text"], F.lit("|||"), F.lit("")))
-    prose = prose.withColumn("pairs", S.split_html(F.col("cut.text"), F.col("html"), F.col("language"), F.col("cut.positions")))
+    md = _resolved(_margin(F.col("text"), F.col("margin_base")), F.coalesce("numbers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))))
+    prose = _once(prose.select("book", "file", "block", "kind", "number", "language", "text", "margin_base", "numbers"), tokens=tokens, md=md).drop("text", "margin_base", "numbers")
+    prose = _once(prose, plain=lift(md_to_plain(F.col("md"))), html=F.replace(lift(md_to_html(F.col("md")))["text"], F.lit("|||"), F.lit(""))).drop("md")
+    prose = _once(prose, cut=S.forced(F.col("plain.text")))
+    prose = _once(prose, pairs=S.split_html(F.col("cut.text"), F.col("html"), F.col("language"), F.col("cut.positions"))).drop("html", "cut")
 
     def moved(m: Column) -> Column:
         """The mark's offset once ``|||`` is gone."""
@@ -143,18 +149,24 @@ def sentences(files: DataFrame, label: str = "Figure") -> DataFrame:
         return m.withField("char_offset", m["char_offset"] - (F.char_length(before) - F.char_length(F.replace(before, F.lit("|||"), F.lit("")))))
 
     starts = F.concat(F.array(F.lit(0)), S._running(F.transform("pairs", lambda p: F.char_length(p["text"]) + 1)))
-    prose = prose.withColumn("starts", F.slice(starts, F.lit(1), F.size("pairs"))).withColumn("markers", F.transform(F.col("plain.markers"), moved))
+    runs = S._running(F.transform("pairs", lambda p: p["text"].startswith(S.RUN).cast("int")))
+    prose = _once(prose, starts=F.slice(starts, F.lit(1), F.size("pairs")), runs=runs, markers=F.transform(F.col("plain.markers"), moved)).drop("plain")
     # The last sentence that begins at or before a mark has it.
     owned = F.transform("markers", lambda m: F.struct(F.greatest(F.size(F.filter("starts", lambda s: s <= m["char_offset"])) - 1, F.lit(0)).alias("owner"), m.alias("m")))
-    prose = prose.withColumn("owned", owned)
-    each = prose.select("book", "file", "block", "kind", "number", "language", "owned", "starts", "tokens", F.posexplode("pairs").alias("position", "pair"))
-    return _told(each, label, rows)
+    prose = _once(prose, owned=owned)
+    # Blocks are cut once, for their sentences and for the numbers of those before.
+    return _told(staged(prose.select("book", "file", "block", "kind", "number", F.transform("pairs", _sentence).alias("sentences"))), label, rows)
+
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """The frame with columns that later expressions may name often: behind a generator they are computed once a row."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", made.alias("_made")).select("*", "_made.*").drop("_made")
 
-def _told(each: DataFrame, label: str, rows: DataFrame) -> DataFrame:
-    start = F.get("starts", F.col("position"))
-    is_run = F.col("pair.text").startswith(S.RUN)
-    mine = F.filter("owned", lambda o: o["owner"] == F.col("position"))
+
+def _sentence(pair: Column, i: Column) -> Column:
+    """What hangs on sentence ``i`` of a block."""
+    start, is_run, mine = F.get("starts", i), pair["text"].startswith(S.RUN), F.filter("owned", lambda o: o["owner"] == i)
 
     def page(o: Column) -> Column:
         m = o["m"]
@@ -164,19 +176,19 @@ def _told(each: DataFrame, label: str, rows: DataFrame) -> DataFrame:
     def margin(o: Column) -> Column:
         return F.get(F.filter("tokens", lambda t: t["number"] == o["m"]["value"].cast("int")), F.lit(0))
 
-    bare = F.regexp_replace
-    inner = Window.partitionBy("book", "file", "block").orderBy("position")
-    runs = F.nullif(F.sum(is_run.cast("int")).over(inner).cast("int"), F.lit(0))
-    counts = each.filter("kind = 'paragraph'").groupBy("book", "file", "block").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("book").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    told = each.withColumn("segment", runs).select(
-        "book", "file", "block", "kind", "number", "position", "segment",
-        bare(F.col("pair.text"), f"^{S.RUN}", "").alias("text"), bare(F.col("pair.html"), f"^{S.RUN}", "").alias("html"),
+    return F.struct(
+        F.regexp_replace(pair["text"], f"^{S.RUN}", "").alias("text"), F.regexp_replace(pair["html"], f"^{S.RUN}", "").alias("html"), F.nullif(F.get("runs", i), F.lit(0)).alias("segment"),
         F.transform(F.filter(mine, lambda o: o["m"]["kind"] != "margin"), page).alias("markers"),
-        F.transform(F.regexp_extract_all(F.col("pair.html"), F.lit(r"<sup>(\d{1,9})</sup>"), F.lit(1)), lambda n: n.cast("int")).alias("footnotes"),
+        F.transform(F.regexp_extract_all(pair["html"], F.lit(r"<sup>(\d{1,9})</sup>"), F.lit(1)), lambda n: n.cast("int")).alias("footnotes"),
         F.transform(F.filter(mine, lambda o: o["m"]["kind"] == "margin"), margin).alias("margin_notes"),
-    ).join(bases, ["book", "file", "block"], "left")
+    )
+
+
+def _told(cut: DataFrame, label: str, rows: DataFrame) -> DataFrame:
+    earlier = Window.partitionBy("book").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.filter("kind = 'paragraph'").select("book", "file", "block", F.size("sentences").alias("n"))
+    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    told = cut.join(bases, ["book", "file", "block"], "left").select("book", "file", "block", "kind", "number", "base", F.posexplode("sentences").alias("position", "s")).select("*", "s.*")
     text = told.select(
         "book", "file", "block", "kind", F.when(F.col("kind") == "paragraph", F.col("number")).alias("block_number"), "position", (F.col("base") + F.col("position") + 1).alias("sentence_number"), "segment", "text", "html", "markers", "footnotes", "margin_notes",
     )

@@ -87,3 +87,10 @@ def test_sentences(spark):
 def test_refused(spark, body):
     with pytest.raises(Exception, match="margin|caption"):
         prose.sentences(frame(spark, [("k", 1, "en", body)])).collect()
+
+
+def test_blocks_are_cut_once(spark):
+    """What reads sentences finds them cut: no rule of a splitter is left in its plan, so none runs again for counts or numbers."""
+    found = prose.sentences(frame(spark, [("k", 1, "de", "Eins. Zwei.\n\nDrei."), ("k", 2, "de", "+ Vier. Fünf.")]))
+    assert "Hauptst" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["text"], r["sentence_number"], r["segment"]) for r in found.orderBy("file", "block", "position").collect()] == [("Eins.", 1, None), ("Zwei.", 2, None), ("Drei.", 3, None), ("Vier.", 4, 1), ("Fünf.", 5, 1)]
