@@ -7,6 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sentences import bound
+from .lineage import staged
+
 #: Classes of spelling rules with what each replaces, first class first.
 RULES = {
     "ey_ei": [("ey", "ei"), ("Ey", "Ei")],
@@ -51,11 +54,21 @@ def lexicon(pairs: DataFrame, rulings: DataFrame) -> DataFrame:
 def modernised(texts: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
     """key, modern, keeps_long_s: each run of letters replaced by its ``result`` in ``entries`` (surface, result), all else as it is; ``key`` names a text.
 
-    Only the distinct words of all texts meet the lexicon.
+    Only the distinct words of all texts meet the lexicon, and only places to change meet their texts, under a digest: no word carries its text.
     """
-    runs = texts.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"\p{IsAlphabetic}+|\P{IsAlphabetic}+"), F.lit(0))).alias("_at", "surface"))
-    used = entries.filter("result is not null").join(runs.select("surface").distinct(), "surface", "left_semi").select("surface", "result")
-    put = runs.join(used, "surface", "left").select(key, F.struct("_at", F.coalesce("result", "surface").alias("s")).alias("x"))
-    whole = put.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "").alias("modern"))
-    every = texts.select(key, text).join(whole, key, "left").select(key, F.coalesce("modern", text).alias("modern"))
+    runs = F.regexp_extract_all("_text", F.lit(r"\p{IsAlphabetic}+|\P{IsAlphabetic}+"), F.lit(0))
+    named = texts.select(key, F.col(text).alias("_text"), F.unhex(F.sha2(F.col(text), 256)).alias("_id"))
+    places = named.select("_id", F.posexplode(runs).alias("_at", "surface")).filter(F.col("surface").rlike(r"^\p{IsAlphabetic}"))
+    known = entries.filter("result is not null").select("surface", "result")
+    # A table of its own, whose size tells whether it can be sent to all tasks.
+    used = staged(known.join(places.select("surface").distinct(), "surface", "left_semi"))
+    put = places.join(used, "surface").groupBy("_id").agg(F.array_sort(F.collect_set(F.struct(F.col("_at").alias("at"), F.lit(0).alias("old"), F.col("result").alias("s")))).alias("_put"))
+
+    def changed(x: Column) -> Column:
+        """Of two runs of one place the new one, which sorts first."""
+        return F.filter(x, lambda r, i: (i == 0) | (F.get(x, i - 1)["at"] != r["at"]))
+
+    said = F.transform(runs, lambda s, i: F.struct(i.alias("at"), F.lit(1).alias("old"), s.alias("s")))
+    whole = bound(F.array_sort(F.concat("_put", said)), lambda x: F.array_join(F.transform(changed(x), lambda r: r["s"]), ""))
+    every = named.join(put, "_id", "left").select(key, F.when(F.col("_put").isNull(), F.col("_text")).otherwise(whole).alias("modern"))
     return every.withColumn("keeps_long_s", F.col("modern").contains("ſ"))

@@ -34,6 +34,18 @@ def test_modernised(spark):
     assert found == {1: ("sein, sein! am-sein", False), 2: ("", False), 3: (None, None), 4: ("ſo ſeynd", True)}
 
 
+def test_a_long_text_that_is_its_own_key(spark):
+    """Words travel under a digest: with their text they would be gigabytes here."""
+    entries = spark.createDataFrame([("ſeyn", "sein"), ("am", None)], "surface string, result string")
+    long = "ſeyn, am ſo " * 15_000
+    texts = spark.createDataFrame([(long, long), ("ſo", "ſo")], "k string, text string")
+    found = L.modernised(texts, "k", "text", entries)
+    rows = {r["k"]: (r["modern"], r["keeps_long_s"]) for r in found.collect()}
+    assert rows == {long: (long.replace("ſeyn", "sein"), True), "ſo": ("ſo", True)}
+    generated = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate posexplode" in line]
+    assert generated and not any("_text" in line.split("[_at", 1)[-1] for line in generated)
+
+
 def _entry(spark, sort_names, names, role=None, original=None, published=1911, edition=None, place=None, publisher=None):
     some = [F.array(*map(F.lit, x)).cast("array<string>") for x in (sort_names, names)]
     rest = [F.lit(role).cast("string"), F.lit(original).cast("int"), F.lit(published).cast("int"), F.lit("T"), *[F.lit(x).cast("string") for x in (edition, place, publisher)]]
