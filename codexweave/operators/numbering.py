@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import staged
+
 
 def renumber(df: DataFrame, keys: list[str], order: list[str], name: str, start: int = 1) -> DataFrame:
-    """Dense numbers per book in full document order; ``order`` must tell rows apart."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + (start - 1)).cast("long"))
+    """Dense numbers per book in full document order; ``order`` must tell rows apart.
+
+    Rows are dealt by ranges of the order and numbered in each, behind the counts of a book's earlier ranges, so a book may be larger than a task.
+    """
+    dealt = staged(df.repartitionByRange(*keys, *order).withColumn("_r", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy(*keys, "_r").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    bases = bases.filter("_base > 0").select("_r", "_base", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    inside = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_r").orderBy(*order))).alias("x")
+    same = F.col("x._r") == F.col("b._r")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"b._k{i}"))
+    number = (F.col(f"x.{name}") + F.coalesce("b._base", F.lit(0)) + (start - 1)).cast("long")
+    return inside.join(bases.alias("b"), same, "left").select(*[F.col(f"x.{c}") for c in df.columns if c != name], number.alias(name))
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, name: str) -> DataFrame:

@@ -99,7 +99,7 @@ def margin_note_numbers(t):
 @query("SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS verse_number FROM lineitem")
 def verse_book_renumber(t):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    return N.renumber(t.lineitem, ["l_returnflag"], order, "verse_number").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "verse_number")
+    return N.renumber(t.lineitem.select("l_returnflag", *order), ["l_returnflag"], order, "verse_number").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "verse_number")
 
 
 @query("""

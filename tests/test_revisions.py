@@ -139,3 +139,22 @@ def test_plans_of_random_units(spark):
     expected = [(u, *step) for u in old if old[u] != new[u] for step in plan_unit([(f"{u}.{k}", s) for k, s in enumerate(old[u])], new[u])]
     got = [tuple(r[c] for c in ("unit", "action", "old_id", "survivor", "place")) for r in plan.collect()]
     assert sorted(got, key=str) == sorted(expected, key=str) and {x[1] for x in got} == {"keep", "split", "merge", "insert", "delete", "conflict"}
+
+
+def test_numbers_of_a_book_larger_than_a_task(spark):
+    """A book of many rows is dealt over several ranges, null keys are a book, and no range is numbered for itself."""
+    from codexweave.operators import numbering as N
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(4000).select(F.when(F.col("id") % 4 > 0, "a").when(F.col("id") % 8 == 0, "b").alias("book"), F.pmod(F.col("id") * 7919, F.lit(4001)).alias("place"))
+        found = N.renumber(rows, ["book"], ["place"], "number", 5)
+        assert found.columns == ["book", "place", "number"] and found.schema["number"].dataType.simpleString() == "bigint"
+        got = found.collect()
+        for book in ("a", "b", None):
+            assert [r["number"] for r in sorted((r for r in got if r["book"] == book), key=lambda r: r["place"])] == list(range(5, 5 + sum(r["book"] == book for r in got)))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number() windowspecdefinition(book" in plan and "_r#" in plan.split("row_number() windowspecdefinition(", 1)[1].split(" ASC", 1)[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
