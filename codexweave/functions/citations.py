@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sentences import bound
+
 #: Kinds a directive can name, the first of them if it names none.
 KINDS = ("body", "footnote", "figure")
 
@@ -49,15 +51,17 @@ def passage_locator(systems: Column, parent: Column, node: Column, sentence: Col
     return F.when(F.size(systems) > 0, F.array_join(F.transform(systems, one), " · ")).otherwise(F.concat(node, F.lit(" · "), sentence))
 
 
-def _attribute(body: Column, name: str) -> Column:
-    """The first value of a name, of the quoted ones before the bare numbers."""
+_QUOTED, _BARE = r'(?U)(\w+)="([^"]*)"', r"(?U)(\w+)=(\d+)"
+
+
+def _attributes(body: Column, names: list[str], use) -> Column:
+    """``use`` of a struct of each name's first value, of the quoted ones before the bare numbers; the text is read once for all."""
+    lists = F.struct(*[F.regexp_extract_all(body, F.lit(p), F.lit(i)).alias(f"{n}{i}") for n, p in (("quoted", _QUOTED), ("bare", _BARE)) for i in (1, 2)])
 
-    def first(pattern: str) -> Column:
-        keys, values = (F.regexp_extract_all(body, F.lit(pattern), F.lit(i)) for i in (1, 2))
-        return F.get(values, (F.array_position(keys, name) - 1).cast("int"))
+    def value(x: Column, name: str) -> Column:
+        return F.coalesce(*[F.get(x[f"{n}2"], (F.array_position(x[f"{n}1"], name) - 1).cast("int")) for n in ("quoted", "bare")])
 
-    quoted, bare = first(r'(?U)(\w+)="([^"]*)"'), first(r"(?U)(\w+)=(\d+)")
-    return F.coalesce(quoted, bare)
+    return bound(lists, lambda x: bound(F.struct(*[value(x, n).alias(n) for n in names]), use))
 
 
 def quotation_directives(markdown: Column) -> Column:
@@ -69,11 +73,14 @@ def quotation_directives(markdown: Column) -> Column:
     def number(text: Column) -> Column:
         return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int"))
 
-    def one(body: Column) -> Column:
-        a, b = number(_attribute(body, "start")), number(_attribute(body, "end"))
-        kind = F.coalesce(_attribute(body, "kind"), F.lit(KINDS[0]))
+    def told(d: Column) -> Column:
+        a, b = d["start"], d["end"]
         last = F.nullif(F.greatest(a, b), F.least(a, b))
-        return F.struct(_attribute(body, "book").alias("book"), F.least(a, b).alias("start"), last.alias("end"), kind.alias("kind"), a.isNotNull().alias("ok"))
+        return F.struct(d["book"].alias("book"), F.least(a, b).alias("start"), last.alias("end"), d["kind"].alias("kind"), a.isNotNull().alias("ok"))
+
+    def one(body: Column) -> Column:
+        read = lambda d: F.struct(d["book"].alias("book"), number(d["start"]).alias("start"), number(d["end"]).alias("end"), F.coalesce(d["kind"], F.lit(KINDS[0])).alias("kind"))
+        return _attributes(body, ["book", "start", "end", "kind"], lambda d: bound(read(d), told))
 
     found = F.transform(F.regexp_extract_all(markdown, F.lit(r"::quotation\{([^}]+)\}"), F.lit(1)), one)
     good = F.filter(found, lambda d: F.coalesce(d["book"] != "", F.lit(False)) & d["ok"] & d["kind"].isin(*KINDS))

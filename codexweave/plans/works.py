@@ -45,7 +45,9 @@ UNION ALL SELECT p_partkey, 'plain', p_size, NULL, 'body' FROM part""")
 def quotation_directives(t):
     """Two good directives and two that are left out in each text, but for texts whose first names an unknown kind."""
     kind = F.when(F.col("p_partkey") % 4 == 0, ' kind="footnote"').when(F.col("p_partkey") % 4 == 1, "").when(F.col("p_partkey") % 4 == 2, ' kind="margin"').otherwise(' kind="figure" kind="none"')
-    texts = t.part.select("p_partkey", F.concat(F.lit('A ::quotation{book="'), "p_brand", F.lit('" end=25 start="'), F.col("p_size").cast("string"), F.lit('"'), kind, F.lit('}, ::quotation{start=3}, ::quotation{book="b" start="x"} and ::quotation{book="plain" end="?" start='), F.col("p_size").cast("string"), F.lit("}.")).alias("text"))
+    # A small table with much to read in each row: dealt over all tasks first.
+    part = t.part.select("p_partkey", "p_brand", "p_size").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    texts = part.select("p_partkey", F.concat(F.lit('A ::quotation{book="'), "p_brand", F.lit('" end=25 start="'), F.col("p_size").cast("string"), F.lit('"'), kind, F.lit('}, ::quotation{start=3}, ::quotation{book="b" start="x"} and ::quotation{book="plain" end="?" start='), F.col("p_size").cast("string"), F.lit("}.")).alias("text"))
     found = texts.select("p_partkey", F.explode(B.quotation_directives(F.col("text"))).alias("d"))
     return found.select("p_partkey", "d.book", F.col("d.start").alias("first"), F.col("d.end").alias("last"), "d.kind")
 

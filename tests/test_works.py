@@ -112,3 +112,10 @@ def test_library(spark):
     assert [(w["work"], w["versions"][0]["node"]) for w in found["self", 4]["works"]] == [(6, "ode"), (5, "play")]
     assert found["self", 7]["works"] == [] and found["self", 9]["label"] == "Bible"
     assert [v["source"] for v in found["self", 9]["works"][0]["versions"]] == [9, 10]
+
+
+def test_directives_are_read_once(spark):
+    """One expression finds the directives and four their attributes, however often values are named."""
+    found = spark.createDataFrame([('::quotation{book="b" start=3 end="2"}',)], "x string").select(B.quotation_directives(F.col("x")).alias("d"))
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 5
+    assert [tuple(d) for d in found.first()["d"]] == [("b", 2, 3, "body")]
