@@ -154,6 +154,31 @@ def test_edits_scattered_through_lines(spark):
     assert all(n >= 36 for n in found.values()), found
 
 
+def test_lines_that_meet_in_large_blocks_only(spark):
+    """Two similar lines whose common pairs of words stand in many earlier lines too, while their other pairs are rare."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvw") for _ in range(6))
+    docs, twins = [], []
+    for _ in range(4):
+        a = [word() for _ in range(20)]
+        b = [w[:2] + "x" + w[3:] if i % 3 == 2 else w for i, w in enumerate(a)]
+        for i in range(0, 20, 3):
+            for _ in range(18):
+                docs.append(" ".join([word(), word(), *a[i : i + 2], word()]))
+        for i in range(1, 18, 3):
+            for _ in range(18):
+                docs.append(" ".join([word(), a[i], word(), a[i + 2], word()]))
+        twins += [" ".join(a), " ".join(b)]
+    n = len(docs)
+    linked = removals(spark, list(enumerate(docs + twins)))
+    assert linked == {n + 1, n + 3, n + 5, n + 7}
+
+
+def removals(spark, docs):
+    """doc_ids of one-line documents whose line goes."""
+    return {r.doc_id for r in lines.dedup(frame(spark, docs)).filter("n_removed > 0").collect()}
+
+
 def test_fuzzy_lines(spark):
     """Of all pairs within the edit similarity, nine in ten are linked at each length; nothing else is. No SimHash or segment is used here."""
     rng = random.Random(8)
