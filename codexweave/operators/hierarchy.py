@@ -23,12 +23,17 @@ def effective(df: DataFrame, values: DataFrame, path: str, value: str, name: str
 def _edges(edges: DataFrame, node: str, parent: str) -> DataFrame:
     """_n, _up: each node's known parent, itself where there is none."""
     known = edges.select(F.col(node).alias("_p")).distinct()
-    return edges.join(known, F.col(parent) == F.col("_p"), "left").select(F.col(node).alias("_n"), F.coalesce("_p", node).alias("_up"))
+    return edges.join(_wide(known), F.col(parent) == F.col("_p"), "left").select(F.col(node).alias("_n"), F.coalesce("_p", node).alias("_up"))
+
+
+def _wide(df: DataFrame) -> DataFrame:
+    """Joined by a shuffle: columns of keys in order compress so well that their files look small enough to be sent through the driver."""
+    return df.hint("merge")
 
 
 def _doubled(jump: DataFrame) -> DataFrame:
     far = jump.select(F.col("_n").alias("_m"), F.col("_up").alias("_top"))
-    return staged(jump.join(far, F.col("_up") == F.col("_m")).select("_n", F.col("_top").alias("_up")))
+    return staged(jump.join(_wide(far), F.col("_up") == F.col("_m")).select("_n", F.col("_top").alias("_up")))
 
 
 def _settled(jump: DataFrame) -> DataFrame:
@@ -49,11 +54,11 @@ def roots(edges: DataFrame, node: str, parent: str) -> DataFrame:
     """
     once = staged(_edges(edges, node, parent))
     ends = _settled(once).select(F.col("_up").alias("_e")).distinct()
-    jump = once.join(ends, F.col("_n") == F.col("_e"), "left").select("_n", F.when(F.col("_e").isNotNull(), F.col("_n")).otherwise(F.col("_up")).alias("_up"))
+    jump = once.join(_wide(ends), F.col("_n") == F.col("_e"), "left").select("_n", F.when(F.col("_e").isNotNull(), F.col("_n")).otherwise(F.col("_up")).alias("_up"))
     moved = True
     while moved:
         after = _doubled(jump)
-        moved = not after.join(jump.toDF("_n", "_before"), "_n").filter("_up <> _before").isEmpty()
+        moved = not after.join(_wide(jump.toDF("_n", "_before")), "_n").filter("_up <> _before").isEmpty()
         jump = after
     return jump.select(F.col("_n").alias(node), F.col("_up").alias("root"))
 
@@ -62,7 +67,7 @@ def cyclic(edges: DataFrame, node: str, parent: str) -> DataFrame:
     """The nodes from which following parents never ends, at any depth."""
     once = staged(_edges(edges, node, parent))
     looped = once.filter("_n <> _up").select(F.col("_n").alias("_c"))
-    return _settled(once).join(looped, F.col("_up") == F.col("_c"), "left_semi").select(F.col("_n").alias(node))
+    return _settled(once).join(_wide(looped), F.col("_up") == F.col("_c"), "left_semi").select(F.col("_n").alias(node))
 
 
 def _levels(df: DataFrame, node: str, parent: str) -> int:

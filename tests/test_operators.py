@@ -154,3 +154,20 @@ def test_predicates(spark):
         assert {r["x"]: r["s"] for r in got} == {x: x.encode()[:n].decode(errors="ignore") for x in texts}
     page = P.anchored_page(spark.range(10).toDF("n"), "n", 0, 0, 99).collect()
     assert len(page) == 10 and not page[0]["has_more"] and not page[0]["has_previous"]
+
+
+def test_walks_to_roots_send_no_table_through_the_driver(spark, monkeypatch):
+    """Keys in order compress well, so tables of them look small enough to be broadcast when they are not."""
+    plans, write = [], T.staged
+    monkeypatch.setattr(T, "staged", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    edges = spark.range(3000).select("id", (F.when(F.col("id") % 5 != 0, F.floor(F.col("id") / 3))).alias("up"))
+    found = T.roots(edges, "id", "up")
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+
+    def top(k):
+        while k % 5:
+            k //= 3
+        return k
+
+    assert {r.id: r.root for r in found.collect()} == {k: top(k) for k in range(3000)}
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
