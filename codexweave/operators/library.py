@@ -23,11 +23,11 @@ def works(sources: DataFrame, found: DataFrame) -> DataFrame:
     root = T.roots(sources, "source", "translation_of").select("source", F.col("root").alias("work"))
     title = sources.select("source", F.col("title").alias("_title"))
     order = [(F.col("source") != F.col("work")).alias("other"), "language", "slug", F.coalesce("node", F.lit("")).alias("node"), "source"]
-    listed = found.join(root.join(title, "source"), "source").groupBy("work").agg(F.array_sort(F.collect_list(F.struct(*order, "_title"))).alias("_all"))
+    listed = found.join(root.join(title.hint("merge"), "source").hint("merge"), "source").groupBy("work").agg(F.array_sort(F.collect_list(F.struct(*order, "_title"))).alias("_all"))
     english = F.get(F.filter("_all", lambda v: v["language"] == "en"), F.lit(0))["_title"]
     own = sources.select(F.col("source").alias("work"), "parent", "title", F.coalesce("original", "published").alias("year"))
     kept = F.transform("_all", lambda v: F.struct(v["language"].alias("language"), v["slug"].alias("slug"), F.nullif(v["node"], F.lit("")).alias("node"), v["source"].alias("source")))
-    return listed.join(own, "work").select("work", "parent", F.coalesce(english, "title").alias("title"), "year", kept.alias("versions"))
+    return listed.join(own.hint("merge"), "work").select("work", "parent", F.coalesce(english, "title").alias("title"), "year", kept.alias("versions"))
 
 
 def contributors(persons: DataFrame) -> DataFrame:
@@ -44,11 +44,11 @@ def library(sources: DataFrame, found: DataFrame, persons: DataFrame) -> DataFra
     """kind, key, label, sort_name, works: the groups of a catalogue.
 
     ``sources`` has source, title, published, original, translation_of, parent. A work without a parent goes to its first author, else its first editor, else it
-    is a group of its own, which lists it only if it has several versions. Works with a parent go to the group of the topmost one, if that is itself a listed work.
+    is a group of its own, which lists it only if it has several versions. All tables here grow with the library, so they are joined by shuffles. Works with a parent go to the group of the topmost one, if that is itself a listed work.
     Works are sorted by year, undated ones last, then by title. A group's works are gathered in one row: as many as one author has, not as many as there are.
     """
     people, every = contributors(persons), works(sources, found)
-    every = every.join(people, "work", "left")
+    every = every.join(people.hint("merge"), "work", "left")
     by_author, editors = F.size("authors") > 0, F.col("editors")
     lead = F.get(F.when(by_author, F.col("authors")).otherwise(editors), F.lit(0))
     others = F.when(by_author, F.transform(F.slice("authors", 2, 1 << 30), lambda p: p["name"]))
@@ -58,13 +58,13 @@ def library(sources: DataFrame, found: DataFrame, persons: DataFrame) -> DataFra
 
     kind = F.when(F.col("lead").isNull(), "self").otherwise("author")
     key = F.when(F.col("lead").isNull(), F.col("work")).otherwise(F.col("lead.person"))
-    top = placed.filter("parent is null").join(sources.select(F.col("source").alias("work"), F.col("title").alias("_own")), "work")
+    top = placed.filter("parent is null").join(sources.select(F.col("source").alias("work"), F.col("title").alias("_own")).hint("merge"), "work")
     top = top.select("work", "card", kind.alias("kind"), key.alias("key"), F.coalesce("lead.name", "_own").alias("label"), F.coalesce("lead.sort_name", "_own").alias("sort_name"))
     shown = F.when((F.col("kind") == "author") | (F.size("card.versions") > 1), F.col("card"))
     heads = top.withColumn("card", shown)
     above = T.roots(sources, "source", "parent").select(F.col("source").alias("work"), F.col("root").alias("_top"))
-    nested = placed.filter("parent is not null").select("work", "card").join(above, "work").drop("work")
-    nested = nested.join(top.drop("card"), F.col("_top") == F.col("work")).select(*heads.columns)
+    nested = placed.filter("parent is not null").select("work", "card").join(above.hint("merge"), "work").drop("work")
+    nested = nested.join(top.drop("card").hint("merge"), F.col("_top") == F.col("work")).select(*heads.columns)
     listed = F.array_sort(F.collect_list("card"), lambda a, b: _by_year_and_title(a, b))
     return heads.unionByName(nested).groupBy("kind", "key").agg(F.min("label").alias("label"), F.min("sort_name").alias("sort_name"), listed.alias("works"))
 

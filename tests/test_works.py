@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from codexweave.functions import citations as B
 from codexweave.operators import lexicon as L
+from codexweave.plans import registry
+from oracle import FOLDER
 
 
 def value(spark, column):
@@ -119,3 +121,9 @@ def test_directives_are_read_once(spark):
     found = spark.createDataFrame([('::quotation{book="b" start=3 end="2"}',)], "x string").select(B.quotation_directives(F.col("x")).alias("d"))
     assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 5
     assert [tuple(d) for d in found.first()["d"]] == [("b", 2, 3, "body")]
+
+
+def test_library_is_not_sent_through_the_driver(spark):
+    found = registry.queries()["library_catalogue"](spark, FOLDER)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 0
