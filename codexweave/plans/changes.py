@@ -9,7 +9,7 @@ from ..functions import sentences as S
 from ..functions import text as X
 from ..operators import mutations as M
 from ..operators import reconcile as C
-from ..operators.lineage import staged
+from ..operators.lineage import lean, staged
 from ..sources import formats, markdown
 from .tables import query
 
@@ -118,7 +118,7 @@ def not_additive_nodes(t):
 
 @query()
 def html_blocks(t):
-    return t.pages.select("page_id", F.posexplode(formats.html_blocks(F.col("html"))).alias("position", "b")).select("page_id", "position", "b.*")
+    return lean(t.pages).select("page_id", F.posexplode(formats.html_blocks(F.col("html"))).alias("position", "b")).select("page_id", "position", "b.*")
 
 
 @query()

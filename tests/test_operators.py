@@ -171,3 +171,15 @@ def test_walks_to_roots_send_no_table_through_the_driver(spark, monkeypatch):
 
     assert {r.id: r.root for r in found.collect()} == {k: top(k) for k in range(3000)}
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_html_blocks_send_pages_to_python_in_small_batches(spark):
+    from codexweave.operators.lineage import BATCH
+    from codexweave.plans import registry
+    from oracle import FOLDER
+
+    set_ = spark.conf.get(BATCH, None)
+    spark.conf.unset(BATCH)
+    registry.queries()["html_blocks"](spark, FOLDER)
+    assert spark.conf.get(BATCH) == "4m"
+    spark.conf.set(BATCH, set_ or "4m")
