@@ -1,7 +1,7 @@
 """Alignment of two revisions, and what follows for the annotations attached to them.
 
 A unit is what is aligned as a whole, a paragraph say. Units of equal length are compared place by place; in others the equal ends are
-anchored by joins on the place from the front and from the back, and what lies between is one edit that must be told apart: only there, and
+anchored by hashes of their sentences from the front and from the back, and what lies between is one edit that must be told apart: only there, and
 only where it has three sentences at most, are texts gathered.
 """
 
@@ -17,21 +17,38 @@ SPLIT_OR_MERGE, SCRAMBLED = 0.90, 0.25
 
 
 def _sided(df: DataFrame, size: str) -> DataFrame:
-    """unit, k (place from 0), ``size``, id, text, norm."""
+    """unit, k (place from 0), ``size``, id, norm."""
     order = Window.partitionBy("unit").orderBy("place")
     rows = df.withColumn("k", F.row_number().over(order) - 1).withColumn(size, F.count("*").over(Window.partitionBy("unit")).cast("int"))
-    return rows.select("unit", "k", size, *([F.col("id").cast("string").alias("id")] if "id" in df.columns else []), "text", X.normalise(F.col("text")).alias("norm"))
+    return rows.select("unit", "k", size, *([F.col("id").cast("string").alias("id")] if "id" in df.columns else []), X.normalise(F.col("text")).alias("norm"))
 
 
 def _changed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """unit, m, n: the numbers of sentences of units that differ in any text, those of one side only too."""
+    """unit, m, n, head, tail, differ: of units that differ in any text, those of one side only too, the numbers of sentences, of equal ones at both ends, and the places that differ where m = n.
+
+    Normalised sentences are compared by two hashes; only hashes are gathered.
+    """
 
     def content(df: DataFrame, h: str, size: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct("place", F.xxhash64("text").alias("t"), F.md5("text").alias("u"))))
-        return df.groupBy("unit").agg(F.sha2(F.to_json(F.transform(ordered, lambda x: F.struct(x["t"], x["u"]))), 256).alias(h), F.count("*").cast("int").alias(size))
+        norm = X.normalise(F.col("text"))
+        pair = lambda c: [F.xxhash64(c), F.xxhash64(F.lit(1), c)]
+        rows = df.select("unit", "place", *[x.alias(n) for n, x in zip("abcd", pair(F.col("text")) + pair(norm))])
+        return rows.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("place", "a", "b", "c", "d"))).alias(h), F.count("*").cast("int").alias(size))
+
+    both = content(old, "x", "m").join(content(new, "y", "n"), "unit", "full")
+    told = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in "mn"})
+    of = lambda c, p, q: F.transform(c, lambda v: F.struct(v[p].alias("p"), v[q].alias("q")))
+    told = told.filter(~of("x", "a", "b").eqNullSafe(of("y", "a", "b"))).select("unit", "m", "n", of("x", "c", "d").alias("x"), of("y", "c", "d").alias("y"))
+    least = F.least("m", "n")
 
-    both = content(old, "h", "m").join(content(new, "g", "n"), "unit", "full")
-    return both.filter(~F.col("h").eqNullSafe(F.col("g"))).select("unit", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("n", F.lit(0)).alias("n"))
+    def apart(x: Column, y: Column) -> Column:
+        places = F.when(least > 0, F.sequence(F.lit(0), least - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, lambda k: F.get(x, k) != F.get(y, k))
+
+    told = told.withColumn("differ", apart(F.col("x"), F.col("y"))).withColumn("behind", apart(F.reverse("x"), F.reverse("y")))
+    head = F.coalesce(F.get("differ", F.lit(0)), least)
+    tail = F.least(F.coalesce(F.get("behind", F.lit(0)), least), least - head)
+    return told.select("unit", "m", "n", head.alias("head"), tail.alias("tail"), F.when(F.col("m") == F.col("n"), F.col("differ")).alias("differ"))
 
 
 def align(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -44,16 +61,11 @@ def align(old: DataFrame, new: DataFrame) -> DataFrame:
     units = staged(_changed(old, new))
     a = staged(_sided(old.join(units.select("unit"), "unit", "left_semi"), "m"))
     b = staged(_sided(new.join(units.select("unit"), "unit", "left_semi"), "n"))
-    left, right = a.select("unit", "k", "m", "norm"), b.select("unit", "k", "n", F.col("norm").alias("other"))
-    front = left.join(right, ["unit", "k"])
-    back = left.withColumn("k", F.col("m") - 1 - F.col("k")).join(right.withColumn("k", F.col("n") - 1 - F.col("k")), ["unit", "k"])
-    same = F.col("norm") == F.col("other")
-    scrambled = ~same & (F.col("m") == F.col("n")) & (X.similar(F.col("norm"), F.col("other")) < SCRAMBLED)
-    heads = front.groupBy("unit").agg(F.min(F.when(~same, F.col("k"))).alias("head"), F.max(scrambled).alias("scrambled"))
-    tails = back.groupBy("unit").agg(F.min(F.when(~same, F.col("k"))).alias("tail"))
-    least = F.least("m", "n")
-    told = units.join(heads, "unit", "left").join(tails, "unit", "left").withColumn("head", F.coalesce("head", least))
-    told = told.withColumn("tail", F.least(F.coalesce("tail", least), least - F.col("head"))).withColumn("even", F.col("m") == F.col("n"))
+    # Only places of equally long units that differ bring their texts along.
+    differ = staged(units.select("unit", F.explode("differ").alias("k")))
+    texts = a.join(differ, ["unit", "k"]).select("unit", "k", "norm").join(b.join(differ, ["unit", "k"]).select("unit", "k", F.col("norm").alias("other")), ["unit", "k"])
+    bad = texts.filter(X.similar(F.col("norm"), F.col("other")) < SCRAMBLED).select("unit").distinct().withColumn("scrambled", F.lit(True))
+    told = units.drop("differ").join(bad, "unit", "left").withColumn("even", F.col("m") == F.col("n"))
     told = told.withColumn("x", F.col("m") - F.col("head") - F.col("tail")).withColumn("y", F.col("n") - F.col("head") - F.col("tail"))
     few = told.filter(~F.col("even") & (F.col("x") + F.col("y") == 3) & (F.col("x") > 0) & (F.col("y") > 0))
 
@@ -74,11 +86,11 @@ def align(old: DataFrame, new: DataFrame) -> DataFrame:
     def step(action: str, old_id: Column, survivor: Column, place: Column | None) -> Column:
         return F.struct(F.lit(action).alias("action"), old_id.alias("old_id"), survivor.alias("survivor"), (F.lit(None) if place is None else place).cast("int").alias("place"))
 
-    kept = a.drop("m").join(told.filter("clear").drop("ids"), "unit")
+    kept = a.select("unit", "k", "id").join(told.filter("clear").drop("ids"), "unit")
     kept = kept.filter(F.col("even") | (F.col("k") < F.col("head")) | (F.col("k") >= F.col("m") - F.col("tail")))
     place = F.when(F.col("even") | (F.col("k") < F.col("head")), F.col("k")).otherwise(F.col("k") + F.col("n") - F.col("m"))
     keeps = kept.select("unit", step("keep", F.col("id"), F.col("id"), place).alias("s"))
-    gone = a.drop("m").join(told.filter("clear AND NOT even AND x = 1 AND y = 0").drop("ids"), "unit").filter("k = head").select("unit", step("delete", F.col("id"), none, None).alias("s"))
+    gone = a.select("unit", "k", "id").join(told.filter("clear AND NOT even AND x = 1 AND y = 0").drop("ids"), "unit").filter("k = head").select("unit", step("delete", F.col("id"), none, None).alias("s"))
     first, second, head = F.get("ids", F.lit(0)), F.get("ids", F.lit(1)), F.col("head")
     halves = F.array(step("keep", first, first, head), step("split", first, first, head + 1))
     merged = F.array(step("keep", first, first, head), step("merge", second, first, head))

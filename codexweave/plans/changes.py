@@ -101,7 +101,8 @@ def align_plan(t):
 @query(_UNITS + " SELECT CASE WHEN k = 1 THEN unit || '.s0' ELSE unit || '.s' || k END AS anchor FROM u")
 def anchors_after_merge(t):
     old, _ = _revisions(t)
-    plan = C.align(old, old.filter("place <> 1").unionByName(old.filter("place = 1").select("unit", "id", F.lit(0).alias("place"), "text")).groupBy("unit", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), " ").alias("text")))
+    first = old.filter("place <= 1").groupBy("unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("text"))
+    plan = C.align(old, old.filter("place > 1").select("unit", "place", "text").unionByName(first.select("unit", F.lit(0).alias("place"), "text")))
     return C.repoint(old.select(F.col("id").alias("anchor")), plan, ["anchor"])
 
 

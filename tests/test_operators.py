@@ -183,3 +183,13 @@ def test_html_blocks_send_pages_to_python_in_small_batches(spark):
     registry.queries()["html_blocks"](spark, FOLDER)
     assert spark.conf.get(BATCH) == "4m"
     spark.conf.set(BATCH, set_ or "4m")
+
+
+def test_align_writes_each_text_once_and_joins_by_hashes(spark, monkeypatch):
+    plans, write = [], C.staged
+    monkeypatch.setattr(C, "staged", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or write(df))
+    old = spark.createDataFrame([("u", f"s{i}", i, f"sentence {i}") for i in range(5)], "unit string, id string, place int, text string")
+    new = spark.createDataFrame([("u", 0, "sentence 0 sentence 1"), *[("u", i, f"sentence {i}") for i in range(2, 5)]], "unit string, place int, text string")
+    rows = {(r.action, r.old_id, r.survivor, r.place) for r in C.align(old, new).collect()}
+    assert rows == {("keep", "s0", "s0", 0), ("merge", "s1", "s0", 0), ("keep", "s2", "s2", 1), ("keep", "s3", "s3", 2), ("keep", "s4", "s4", 3)}
+    assert not any("text" in columns for columns, _ in plans)
