@@ -6,7 +6,8 @@ one's is odd; a symbol's fate hangs on one neighbour, so two equal windows of ``
 the same symbols but for ``EDGE`` words at either end (2 + 2 + 4), and symbols have 8 words at most: each
 window has a symbol inside. The longest one is the window's anchor (then the least name, then the first). Equal windows have
 equal anchors with equal ``EDGE`` words around them; so only windows whose anchor, with that context,
-occurs twice can be repeats. Those windows alone are compared, by the hash of all their words together with their anchor's.
+occurs twice can be repeats. The windows of one anchor are a run: where a whole run, by the hash of all its windows, occurs twice, all of them are
+repeats. Only where runs with one anchor differ, one of each kind is compared by windows, by the hash of all their words together with their anchor's.
 
 Of texts that are wholly equal, all windows are repeats; only one of them takes part in the comparison of windows. Null and
 blank texts have no words; repeated rows count as copies; a null doc_id is kept; an empty table gives no rows; other columns are not read.
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, lean, small
+from .shared import cut, lean, sifted, small
 from .words import U, Words, hashes, mix, ragged, seeded, slices, split, windows
 
 WINDOW, PAIR_ROUNDS, EDGE, LONGEST = 35, 2, 8, 8
-_PAIR, _CONTEXT = seeded(4, 21), seeded(2 * EDGE + 1, 22)
+_PAIR, _CONTEXT, _RUN = seeded(4, 21), seeded(2 * EDGE + 1, 22), seeded(WINDOW + 2, 23)
 
 
 def symbols(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,28 +98,39 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     return lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), F.xxhash64(F.lit(1), body).alias("side"), body.alias("text"))
 
 
+def _begun(at: np.ndarray) -> np.ndarray:
+    """Where the runs of windows with one anchor begin."""
+    return np.flatnonzero(np.diff(at, prepend=-1))
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: the number of words, the digest of all of them, and its anchors' places and keys."""
+    """Per document: the number of words, the digest of all of them, and its runs: first window, number of windows, anchor's key, hash."""
     for batch in slices(batches):
         w = split(batch["text"])
-        s, at, keys, _ = anchors(w)
-        at, one = np.unique(at, return_index=True)
-        text, place = _local(w, at)
+        s, at, keys, whole = anchors(w)
+        one = _begun(at)
+        size = np.diff(one, append=len(at))
+        runs = np.zeros(0, U)
+        if len(one):
+            inside = np.arange(len(at)) - np.repeat(one, size)
+            runs = mix(np.add.reduceat(whole * _RUN[inside], one) + (at - s)[one].astype(U) * _RUN[-1] + size.astype(U) * _RUN[-2])
+        text, place = _local(w, s[one])
         n = np.bincount(text, minlength=len(batch))
         digest = [hashlib.sha256(b" ".join(x.as_buffer().to_pybytes().split())).hexdigest() for x in batch["text"]]
-        columns = [batch["doc_id"], batch["row"], batch["side"], pa.array(w.counts), pa.array(digest), ragged(place.astype(np.int32), n, pa.int32()), ragged(keys[one].view(np.int64), n, pa.int64())]
-        yield pa.record_batch(columns, names=["doc_id", "row", "side", "n_words", "digest", "places", "keys"])
+        told = [ragged(place.astype(np.int32), n, pa.int32()), ragged(size.astype(np.int32), n, pa.int32()), ragged(keys[one].view(np.int64), n, pa.int64()), ragged(runs.view(np.int64), n, pa.int64())]
+        yield pa.record_batch([batch["doc_id"], batch["row"], batch["side"], pa.array(w.counts), pa.array(digest), *told], names=["doc_id", "row", "side", "n_words", "digest", "starts", "sizes", "keys", "runs"])
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows whose anchors are shared: row, start, anchor's key, window's hash."""
+    """The windows of the runs that begin at ``shared``: row, start, anchor's key, window's hash."""
     for batch in slices(batches):
         w = split(batch["text"])
         s, at, keys, whole = anchors(w)
-        text, place = _local(w, at)
+        one = _begun(at)
+        text, place = _local(w, s[one])
         shared = batch["shared"]
         wanted = (np.repeat(np.arange(len(batch)), shared.value_lengths().to_numpy()) << 32) + shared.flatten().to_numpy()
-        hit = np.isin((text << 32) + place, wanted)
+        hit = np.repeat(np.isin((text << 32) + place, wanted), np.diff(one, append=len(at)))
         text, place = _local(w, s[hit])
         yield pa.record_batch([batch["row"].take(pa.array(text)), pa.array(place.astype(np.int32)), pa.array(keys[hit].view(np.int64)), pa.array(whole[hit].view(np.int64))], names=["row", "start", "key", "hash"])
 
@@ -138,14 +150,16 @@ def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window starts of a text as the stretches of words they cover."""
+    """Repeated windows of a text, each with the number of those that follow it in its run, as the stretches of words they cover."""
     for batch in batches:
         low, high = [], []
-        for starts in batch["starts"]:
-            at = np.sort(starts.values.to_numpy())
-            first = np.flatnonzero(np.diff(at, prepend=at[0] - WINDOW - 1) > WINDOW)
+        for found in batch["found"]:
+            start, size = (found.values.field(c).to_numpy() for c in ("start", "size"))
+            order = np.argsort(start, kind="stable")
+            at, last = start[order], np.maximum.accumulate((start + size - 1)[order])
+            first = np.flatnonzero(np.append(True, at[1:] - last[:-1] > WINDOW))
             low.append(at[first])
-            high.append(at[np.append(first[1:] - 1, len(at) - 1)] + WINDOW)
+            high.append(last[np.append(first[1:] - 1, len(at) - 1)] + WINDOW)
         yield pa.record_batch([batch["row"], pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))], names=["row", "low", "high"])
 
 
@@ -157,16 +171,24 @@ def repeated(df: DataFrame, by: list[str]) -> DataFrame:
 def long_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per document what the first pass found; texts with copies (row, side, copies); repeated stretches by text (row, low, high)."""
     rows = _rows(docs, text, key)
-    first = cut(rows.mapInArrow(_first_pass, "doc_id long, row long, side long, n_words long, digest string, places array<int>, keys array<long>"))
+    first = cut(rows.mapInArrow(_first_pass, "doc_id long, row long, side long, n_words long, digest string, starts array<int>, sizes array<int>, keys array<long>, runs array<long>"))
     texts = cut(first.groupBy("row", "side").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
-    found = first.select("row", F.explode(F.arrays_zip("places", "keys")).alias("x")).select("row", F.col("x.places").alias("place"), F.col("x.keys").alias("key"))
-    hits = found.join(cut(repeated(found, ["key"])).hint("merge"), "key", "left_semi").groupBy("row").agg(F.collect_set("place").alias("shared"))
-    wanted = cut(hits.join(texts, "row").select("row", "doc_id", "shared"))
+    found = first.select("row", F.explode(F.arrays_zip("starts", "sizes", "keys", "runs")).alias("x"))
+    found = found.select("row", F.col("x.starts").alias("start"), F.col("x.sizes").alias("size"), F.col("x.keys").alias("key"), F.col("x.runs").alias("run"))
+    shared = cut(found.groupBy("key").agg(F.count("*").alias("n"), (F.min("run") != F.max("run")).alias("differ")).filter("n > 1").select("key", "differ"))
+    hits = cut(found.join(shared.hint("merge"), "key"))
+    kinds = cut(hits.filter("differ").groupBy("key", "run").agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("one")))
+    wanted = kinds.select("one.*").groupBy("row").agg(F.collect_set("start").alias("shared"))
+    wanted = cut(wanted.join(texts, "row").select("row", "doc_id", "shared"))
     chosen = small(wanted)
-    bodies = rows.join(chosen, (rows.row == chosen.row) & rows.doc_id.eqNullSafe(chosen.doc_id)).select(rows.row, rows.text, "shared")
+    bodies = sifted(rows, "row", wanted).alias("r").join(chosen, (F.col("r.row") == chosen.row) & F.col("r.doc_id").eqNullSafe(chosen.doc_id)).select("r.row", "r.text", "shared")
     windowed = cut(bodies.mapInArrow(_second_pass, "row long, start int, key long, hash long"))
     again = cut(repeated(windowed, ["key", "hash"])).hint("merge")
-    starts = windowed.join(again, ["key", "hash"], "left_semi").groupBy("row").agg(F.collect_set("start").alias("starts"))
+    alone = windowed.join(again, ["key", "hash"], "left_semi").select("row", "start", F.lit(1).alias("size"))
+    whole = hits.filter("NOT differ").select("row", "start", "size")
+    alike = hits.filter("differ").join(kinds.filter("n > 1").select("key", "run"), ["key", "run"], "left_semi").select("row", "start", "size")
+    parts = whole.unionByName(alike).unionByName(alone).join(texts.filter("copies > 1").select("row"), "row", "left_anti")
+    starts = parts.groupBy("row").agg(F.collect_set(F.struct("start", "size")).alias("found"))
     return first, texts.select("row", "side", "copies"), cut(starts.mapInArrow(_runs, "row long, low array<int>, high array<int>"))
 
 
@@ -175,7 +197,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     first, texts, stretches = long_repeats(docs, text, key)
     rows = _rows(docs, text, key)
     chosen = small(stretches)
-    bodies = rows.join(chosen, rows.row == chosen.row).select("doc_id", rows.row, "text", "low", "high")
+    bodies = sifted(rows, "row", stretches).join(chosen, "row").select("doc_id", "row", "text", "low", "high")
     partly = bodies.mapInArrow(_third_pass, "doc_id long, row long, n_removed long, kept string")
     partly = partly.withColumn("kept_sha256", F.sha2("kept", 256)).toDF("_id", "_row", "n_removed", "kept", "kept_sha256")
     partly = cut(partly.dropDuplicates(["_id", "_row"]))
