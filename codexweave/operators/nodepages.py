@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_children(rows: DataFrame, key: str, children: DataFrame, name: str, order: str) -> DataFrame:
-    """Add array ``name``: the children of each row, which carry its ``key``, as structs by ``order``; empty for rows without any."""
-    item = F.struct(order, *[F.col(f"`{c}`") for c in children.columns if c not in (key, order)])
-    gathered = children.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias(name))
+def with_children(rows: DataFrame, key: str, children: DataFrame, name: str, order: str, within: str | None = None) -> DataFrame:
+    """Add array ``name``: the children of each row, which carry its ``key``, as structs by ``order``; empty for rows without any.
+
+    ``within``: a column of both that children share with their row, too, and that isn't part of the structs. Tables dealt by it are not shuffled.
+    """
+    keys = [key] if within in (None, key) else [within, key]
+    item = F.struct(order, *[F.col(f"`{c}`") for c in children.columns if c not in (*keys, order)])
+    gathered = children.filter(F.col(key).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(name))
     kind = gathered.schema[name].dataType
-    return rows.join(gathered, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return rows.join(gathered, keys, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
 def shown(rows: DataFrame, original: bool) -> DataFrame:
@@ -25,18 +29,19 @@ def shown(rows: DataFrame, original: bool) -> DataFrame:
     return rows.withColumns(hidden) if hidden else rows
 
 
-def contents(blocks: DataFrame, sentences: DataFrame, markers: DataFrame, notes: dict[str, tuple[DataFrame, DataFrame]], original: bool = False) -> DataFrame:
+def contents(blocks: DataFrame, sentences: DataFrame, markers: DataFrame, notes: dict[str, tuple[DataFrame, DataFrame]], original: bool = False, within: str | None = None) -> DataFrame:
     """node, blocks: an array by position, sentences within each.
 
     ``blocks``: node, block, position, figure_number; ``sentences``: block, sentence, position; ``markers``: sentence, sort_order. ``notes``: for the name of each kind
     its notes (sentence, note, number) and their sentences (note, position). All may have further columns, which are carried along. A figure's
     number stands on its sentences too. Parts whose parent is null or missing are in no node.
+    ``within``: ``node``, if all tables have it: they are dealt by it as they come, or else shuffled by it, and then no level is shuffled again.
     """
-    told = with_children(shown(sentences, original), "sentence", markers, "markers", "sort_order")
+    told = with_children(shown(sentences, original), "sentence", markers, "markers", "sort_order", within)
     for name, (heads, bodies) in notes.items():
-        whole = with_children(heads, "note", shown(bodies, original), "sentences", "position")
-        told = with_children(told, "sentence", whole, name, "number")
-    held = with_children(shown(blocks, original), "block", told, "sentences", "position")
+        whole = with_children(heads, "note", shown(bodies, original), "sentences", "position", within)
+        told = with_children(told, "sentence", whole, name, "number", within)
+    held = with_children(shown(blocks, original), "block", told, "sentences", "position", within)
     held = held.withColumn("sentences", F.transform("sentences", lambda s: s.withField("figure_number", F.col("figure_number"))))
     nodes = held.select("node").filter("node IS NOT NULL").distinct()
     return with_children(nodes, "node", held, "blocks", "position")

@@ -13,6 +13,7 @@ from ..operators import passages as G
 from ..operators import phrases as P
 from ..operators import ranges as A
 from ..operators import resources as R
+from ..operators.lineage import dealt
 from ..sources import blocks, epub, ocr, prose, sinks, tei
 from .tables import query
 
@@ -376,21 +377,22 @@ g AS (SELECT doc_id, b, p, class, [{'number': number, 'sentences': list({'positi
 
 def _held(t):
     """Documents as nodes: lines are blocks, their clauses sentences; a clause's first letter says whether it has a footnote, a margin note or a page mark."""
-    lines = t.documents.select(F.col("doc_id").alias("node"), F.posexplode(F.split("text", "\n")).alias("position", "line")).withColumn("block", F.concat_ws(":", "node", "position"))
+    docs = dealt(t.documents.select(F.col("doc_id").alias("node"), "text"), "node")
+    lines = docs.select("node", F.posexplode(F.split("text", "\n")).alias("position", "line")).withColumn("block", F.concat_ws(":", "node", "position"))
     parts = lines.select("node", "block", F.col("position").alias("b"), F.posexplode(F.split("line", ", ")).alias("position", "text"))
     each = parts.select(
-        "block", F.concat_ws(":", "block", "position").alias("sentence"), "position", "text", F.reverse("text").alias("original_text"), (F.ascii("text") % 5).alias("class"),
+        "node", "block", F.concat_ws(":", "block", "position").alias("sentence"), "position", "text", F.reverse("text").alias("original_text"), (F.ascii("text") % 5).alias("class"),
         F.row_number().over(Window.partitionBy("node").orderBy("b", "position")).cast("long").alias("number"),
     )
 
     def notes(kind):
-        mine = each.filter(F.col("class") == kind).select("sentence", F.col("sentence").alias("note"), "number", "text")
-        bodies = mine.select("note", F.posexplode(F.split("text", " ")).alias("position", "text")).withColumn("original_text", F.col("text"))
+        mine = each.filter(F.col("class") == kind).select("node", "sentence", F.col("sentence").alias("note"), "number", "text")
+        bodies = mine.select("node", "note", F.posexplode(F.split("text", " ")).alias("position", "text")).withColumn("original_text", F.col("text"))
         return mine.drop("text"), bodies
 
     blocks = lines.select("node", "block", "position", F.when(F.col("position") % 4 == 1, F.col("position")).alias("figure_number"))
-    markers = each.filter("class = 2").select("sentence", F.col("number").alias("sort_order"), F.lit("aa").alias("system"))
-    return N.contents(blocks, each.drop("class", "number"), markers, {"footnotes": notes(0), "margin_notes": notes(1)})
+    markers = each.filter("class = 2").select("node", "sentence", F.col("number").alias("sort_order"), F.lit("aa").alias("system"))
+    return N.contents(blocks, each.drop("class", "number"), markers, {"footnotes": notes(0), "margin_notes": notes(1)}, within="node")
 
 
 @query(_NODE + """

@@ -1,4 +1,9 @@
+import re
+
 from codexweave.operators import nodepages as N
+from codexweave.plans import editions
+from codexweave.plans.tables import Tables
+from oracle import FOLDER
 
 
 def _nodes(spark):
@@ -25,6 +30,21 @@ def test_contents_whole(spark):
     assert all(s["margin_notes"] == [] for b in (w, x) for s in b["sentences"])
 
 
+def test_contents_within_their_node_are_shuffled_once(spark):
+    """Dealt by node, no level is shuffled again, and the contents are as without."""
+    held = editions._held(Tables(spark, FOLDER))
+    shuffles = re.findall(r"Exchange (hashpartitioning\(.*?), \d+\)", held._jdf.queryExecution().sparkPlan().toString() + held._jdf.queryExecution().executedPlan().toString())
+    assert shuffles and all(re.fullmatch(r"hashpartitioning\(node#\d+L?", x) for x in shuffles)
+    blocks = spark.createDataFrame([("n", "x", 1, 7), ("n", "w", 0, None), ("m", "v", 0, None)], "node string, block string, position int, figure_number int")
+    sentences = spark.createDataFrame([("n", "x", "s1", 0), ("n", "w", "s3", 1), ("n", "w", "s2", 0), ("n", None, "s9", 0)], "node string, block string, sentence string, position int")
+    markers = spark.createDataFrame([("n", "s2", 5), ("n", "s2", 3)], "node string, sentence string, sort_order int")
+    heads = spark.createDataFrame([("n", "s3", "f2", 2), ("n", "s3", "f1", 1)], "node string, sentence string, note string, number int")
+    bodies = spark.createDataFrame([("n", "f1", 1), ("n", "f1", 0)], "node string, note string, position int")
+    told = N.contents(blocks, sentences, markers, {"footnotes": (heads, bodies)}, within="node")
+    bare = N.contents(blocks, *(x.drop("node") for x in (sentences, markers)), {"footnotes": (heads.drop("node"), bodies.drop("node"))})
+    assert sorted(told.collect()) == sorted(bare.collect())
+
+
 def test_originals_only_if_asked_for(spark):
     (row,) = _held(spark).collect()
     for b in row["blocks"]:
