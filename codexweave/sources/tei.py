@@ -11,12 +11,19 @@ from __future__ import annotations
 import xml.parsers.expat
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import sentences as S
+from ..operators.lineage import lean, staged
 
 EVENTS = "n int, kind string, name string, attrs map<string,string>, text string, path array<struct<id:int,name:string>>"
+#: Events of a batch, those of the last file in it whole.
+AT_ONCE = 20_000
 #: Renditions that carry meaning, and divisions that are none of the text's.
 EMPHASIS = {"#i": "_", "#g": "***", "#k": "**"}
 SKIPPED = ["contents", "imprint", "advertisement"]
@@ -52,22 +59,44 @@ def read_events(source: str) -> Iterator[tuple]:
     yield from out
 
 
-@F.udtf(returnType=EVENTS)
-class XmlEvents:
-    def eval(self, source: str):
-        yield from read_events(source) if source else ()
+def _batch(files: pa.Array, counts: list[int], rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Events of some files as columns; paths and attributes are laid end to end, without an object for each event."""
+    n, kind, name, attrs, text, path = zip(*rows)
+    steps = [x for p in path for x in p]
+    pairs = [x for a in attrs for x in (a or {}).items()]
+    around = pa.StructArray.from_arrays([pa.array([x[i] for x in steps], t) for i, t in enumerate((pa.int32(), pa.string()))], ["id", "name"])
+    paths = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, path)]), pa.int32()), around)
+    ends = np.cumsum([0, *(len(a or ()) for a in attrs)])
+    absent = np.array([*(a is None for a in attrs), False])
+    maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32(), mask=absent), pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.string()))
+    columns = [files.take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(n, pa.int32()), pa.array(kind), pa.array(name, pa.string()), maps, pa.array(text, pa.string()), paths]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _events(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        begun, counts, rows = 0, [], []
+        for i, source in enumerate(batch["xml"]):
+            some = list(read_events(source.as_py())) if source.as_py() else []
+            counts.append(len(some))
+            rows += some
+            if rows and (len(rows) >= AT_ONCE or i + 1 == len(batch)):
+                yield _batch(batch["file"].slice(begun, len(counts)), counts, rows, schema)
+                begun, counts, rows = i + 1, [], []
 
 
 def events(files: DataFrame, key: str = "file", xml: str = "xml") -> DataFrame:
     """file and its events; a null or empty source has none, one that is no XML fails."""
-    files.sparkSession.udtf.register("xml_events", XmlEvents)
-    return files.sparkSession.sql(f"SELECT f.`{key}` AS file, e.* FROM {{files}} f, LATERAL xml_events(f.`{xml}`) e", files=files)
+    some = lean(files).select(F.col(f"`{key}`").alias("file"), F.col(f"`{xml}`").alias("xml"))
+    schema = StructType([some.schema["file"], *StructType.fromDDL(EVENTS).fields])
+    arrow = to_arrow_schema(schema)
+    return some.mapInArrow(lambda batches: _events(batches, arrow), schema)
 
 
 def placed(found: DataFrame) -> DataFrame:
-    """Events with ``at``: the offset in the file's text where they stand."""
+    """Events with ``at``: the offset in the file's text where they stand. Written once, as ranges of every kind read them, so that files are read once too."""
     before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("at", F.coalesce(F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(before), F.lit(0)))
+    return staged(found.withColumn("at", F.coalesce(F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(before), F.lit(0))))
 
 
 def milestone_ranges(at: DataFrame, name: str, unit: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """XML with milestones: events, ranges, and markdown of a small edition."""
 
+import pyarrow as pa
 import pytest
 from codexweave.sources import tei
 
@@ -46,3 +47,24 @@ def test_ranges(found):
 def test_no_xml(spark):
     with pytest.raises(Exception, match="mismatched|not well|no element|tag"):
         tei.events(spark.createDataFrame([("x", "<a><b></a>")], "file string, xml string")).collect()
+
+
+def test_placed_events_are_read_from_a_table(found):
+    """Ranges of every kind read what was written once, so that no range parses the files again."""
+    at = tei.placed(found)
+    both = tei.milestone_ranges(at, "pb").join(tei.element_ranges(at, "p"), "file")
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "UDTF" not in plan and "InMemoryRelation" not in plan and at.inputFiles()
+
+
+def test_events_in_batches(monkeypatch):
+    """Files keep their events, whatever fits into a batch; sources without any stand between them."""
+    sources = [None, "<a x='1'>ä<b/></a>", "", XML, "<a/>", None, "<t y='2' z=''>x</t>", ""]
+    schema = pa.schema([("file", pa.int64()), ("n", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("path", pa.list_(pa.struct([("id", pa.int32()), ("name", pa.string())])))])
+    batch = pa.record_batch([pa.array(range(8), pa.int64()), pa.array(sources)], names=["file", "xml"])
+    expected = [(i, n, kind, name, attrs, text, path) for i, s in enumerate(sources) if s for n, kind, name, attrs, text, path in tei.read_events(s)]
+    for most in (1, 7, 20_000):
+        monkeypatch.setattr(tei, "AT_ONCE", most)
+        rows = [r for b in tei._events(iter([batch]), schema) for r in b.to_pylist()]
+        got = [(r["file"], r["n"], r["kind"], r["name"], None if r["attrs"] is None else dict(r["attrs"]), r["text"], [(x["id"], x["name"]) for x in r["path"]]) for r in rows]
+        assert got == expected
