@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sentences as S
+from ..operators.lineage import dealt
 from . import tei
 
 #: The class and first word of the heading over notes; tags that a block's HTML keeps.
@@ -65,30 +66,32 @@ def nav_points(found: DataFrame) -> DataFrame:
 
 
 def body_elements(found: DataFrame) -> DataFrame:
-    """file, child (place under the body), tag, class, ids (its own and those within), text, html, page_ref of the elements right under the body. Links to pages are in neither layer."""
+    """file, child (place under the body), tag, class, ids (its own and those within), text, html, page_ref of the elements right under the body. Links to pages are in neither layer.
+
+    A link opens within its element, so an element's pieces know their links by themselves, without a join of all events. What follows is dealt by file.
+    """
     depth = F.array_position(F.transform("path", lambda x: x["name"]), "body").cast("int")
-    child = F.get("path", depth)
-    inside = found.withColumn("child", child["id"]).filter("child IS NOT NULL")
-    links = found.filter("kind = 'open' AND name = 'a'").filter(F.col("attrs")["class"] == "page").select("file", F.col("n").alias("link"))
-    link = F.try_element_at(F.filter("path", lambda x: x["name"] == "a"), F.lit(-1))["id"]
-    told = inside.withColumn("link", link).join(links.withColumn("is_page", F.lit(True)), ["file", "link"], "left").withColumn("is_page", F.coalesce("is_page", F.lit(False)))
+    inside = found.withColumn("child", F.get("path", depth)["id"]).filter("child IS NOT NULL")
+    link = F.try_element_at(F.filter("path", lambda x: (x["name"] == "a") & (x["id"] >= F.col("child"))), F.lit(-1))["id"]
     is_open, is_text = F.col("kind") == "open", F.col("kind") == "text"
     tag = F.col("name").isin(KEPT) & (F.col("n") != F.col("child"))
     html = F.when(is_text, F.col("text")).when(tag, F.concat(F.when(is_open, "<").otherwise("</"), F.col("name"), F.lit(">")))
-
-    def joined(value: Column, when: Column) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when & value.isNotNull(), F.struct("n", value.alias("v"))))), lambda x: x["v"]), "")
-
+    piece = F.when(html.isNotNull(), F.struct("n", "link", is_text.alias("is_text"), html.alias("v")))
     own = is_open & (F.col("n") == F.col("child"))
-    first_link = F.min(F.when(F.col("is_page"), F.col("link")))
-    rows = told.groupBy("file", F.col("child")).agg(
+    page = is_open & (F.col("name") == "a") & (F.col("attrs")["class"] == "page")
+    rows = inside.withColumn("link", link).groupBy("file", "child").agg(
         F.max(F.when(own, F.struct("name", F.col("attrs")["class"].alias("class"), F.col("attrs")["id"].alias("id")))).alias("own"), F.collect_set(F.when(is_open, F.col("attrs")["id"])).alias("ids"),
-        S.trimmed(joined(F.col("text"), is_text & ~F.col("is_page"))).alias("text"), S.trimmed(joined(html, ~F.col("is_page"))).alias("html"), first_link.alias("first"),
+        F.array_sort(F.collect_list(piece)).alias("pieces"), F.collect_set(F.when(page, F.col("n"))).alias("pages"),
     )
-    refs = told.filter("is_page AND kind = 'text'").groupBy("file", F.col("link").alias("first")).agg(joined(F.col("text"), is_text).alias("ref"))
-    out = rows.join(refs, ["file", "first"], "left")
+
+    def joined(test) -> Column:
+        return F.array_join(F.transform(F.filter("pieces", test), lambda x: x["v"]), "")
+
+    bare = lambda x: ~F.coalesce(F.array_contains("pages", x["link"]), F.lit(False))
+    first = F.array_min("pages")
+    told = rows.select("file", "child", "own", "ids", S.trimmed(joined(lambda x: bare(x) & x["is_text"])).alias("text"), S.trimmed(joined(bare)).alias("html"), joined(lambda x: x["is_text"] & (x["link"] == first)).alias("ref"))
     number = F.row_number().over(Window.partitionBy("file").orderBy("child")) - 1
-    return out.select("file", number.alias("child"), F.col("own.name").alias("tag"), F.col("own.class").alias("class"), F.col("own.id").alias("id"), "ids", "text", "html", F.nullif(F.regexp_extract(F.trim("ref"), r"^\[(.*)\]$", 1), F.lit("")).alias("page_ref"))
+    return dealt(told, "file").select("file", number.alias("child"), F.col("own.name").alias("tag"), F.col("own.class").alias("class"), F.col("own.id").alias("id"), "ids", "text", "html", F.nullif(F.regexp_extract(F.trim("ref"), r"^\[(.*)\]$", 1), F.lit("")).alias("page_ref"))
 
 
 def _kind() -> Column:

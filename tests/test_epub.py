@@ -49,3 +49,11 @@ def test_missing_anchor(spark):
     points = spark.createDataFrame([("k", "two.html", "p", 1, "none"), ("k", "two.html", "q", 2, "gone"), ("k", "two.html", "r", 3, "s3")], "book string, member string, id string, play_order int, fragment string")
     got = epub.sections(elements, points, ["book", "member"]).orderBy("id", "position").collect()
     assert [(r["id"], r["kind"], r["text"]) for r in got] == [("q", "paragraph", "davor"), ("q", "heading", "Zwei"), ("q", "paragraph", "im zweiten"), ("q", "footnote", "Note zwei"), ("r", "paragraph", "dritter"), ("r", "paragraph", "a")]
+
+
+def test_body_elements_join_no_events(spark):
+    """Links to pages are told within their element: two in one, one nested in a span, one without text, and none that opens around the body."""
+    html = '<html><body><p>a<a class="page">[1]</a>b<a class="page">[2]</a><a href="x">c</a></p><p><span><a class="page"><i>[3]</i></a></span> d</p><p id="e">e<a class="page"/></p><a class="page">[4]</a></body></html>'
+    found = epub.body_elements(tei.events(spark.createDataFrame([("f", html)], "file string, xml string")))
+    assert [tuple(r) for r in found.filter("tag <> 'html'").orderBy("child").select("text", "html", "page_ref").collect()] == [("abc", "abc", "1"), ("d", "d", "3"), ("e", "e", None), ("", "", "4")]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
