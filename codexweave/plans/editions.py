@@ -377,7 +377,7 @@ g AS (SELECT doc_id, b, p, class, [{'number': number, 'sentences': list({'positi
 
 def _held(t):
     """Documents as nodes: lines are blocks, their clauses sentences; a clause's first letter says whether it has a footnote, a margin note or a page mark."""
-    docs = dealt(t.documents.select(F.col("doc_id").alias("node"), "text"), "node")
+    docs = dealt(t.documents.select(F.col("doc_id").alias("node"), "text"), "node", finer=16)
     lines = docs.select("node", F.posexplode(F.split("text", "\n")).alias("position", "line")).withColumn("block", F.concat_ws(":", "node", "position"))
     parts = lines.select("node", "block", F.col("position").alias("b"), F.posexplode(F.split("line", ", ")).alias("position", "text"))
     each = parts.select(
