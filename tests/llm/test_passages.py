@@ -232,6 +232,18 @@ def test_lines_of_a_large_block(spark):
     assert {i for i, t in got.items() if t == ""} == {i for i, _ in docs if i >= 1000}
 
 
+def test_unlike_lines_of_a_block_are_no_candidates(spark):
+    """Lines that share two words and their length but nothing else leave their block by SimHash, before any text is read again."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvw") for _ in range(7))
+    docs = []
+    for _ in range(40):
+        both = [word(), word()]
+        docs += [" ".join([*[word() for _ in range(5)], *both, *[word() for _ in range(5)]]) for _ in range(2)]
+    df = frame(spark, list(enumerate(docs)))
+    assert lines.candidates(lines.blocks(lines.distinct_lines(lines.occurrences(df)))).count() < 20
+
+
 def test_lines_and_clashing_columns(spark):
     names = ["n_removed", "n_lines", "_id", "_places", "_row", "_lines", "row", "pos", "places", "d", "left", "lines", "segments"]
     df = spark.createDataFrame([(i, f"{LINES[0]}\n{LINES[i]}", *range(len(names))) for i in range(1, 4)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
