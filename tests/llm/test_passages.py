@@ -244,6 +244,17 @@ def test_unlike_lines_of_a_block_are_no_candidates(spark):
     assert lines.candidates(lines.blocks(lines.distinct_lines(lines.occurrences(df)))).count() < 20
 
 
+def test_lines_with_a_frequent_pair_are_told_apart(spark):
+    """Lines that share two words and nothing else don't make one large block; the two that are similar still meet."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvw") for _ in range(7))
+    docs = [" ".join([*[word() for _ in range(5)], "frequent", "neighbours", *[word() for _ in range(5)]]) for _ in range(1500)]
+    docs.append(docs[700][:-1] + "q")
+    placed = lines.blocks(lines.distinct_lines(lines.occurrences(frame(spark, list(enumerate(docs))))))
+    assert placed.filter(F.col("n") > lines.MANY).count() == 0
+    assert (700, 1500) in {(r["u"]["doc_id"], r["v"]["doc_id"]) for r in lines.candidates(placed).collect()}
+
+
 def test_lines_and_clashing_columns(spark):
     names = ["n_removed", "n_lines", "_id", "_places", "_row", "_lines", "row", "pos", "places", "d", "left", "lines", "segments"]
     df = spark.createDataFrame([(i, f"{LINES[0]}\n{LINES[i]}", *range(len(names))) for i in range(1, 4)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
